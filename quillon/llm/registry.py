@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ann", "chat", "secrets", "quality", "ngram_join", "pii", "exact_dedup", "bpe", "langid", "packing")
+MODULES = ("chat", "exact_dedup")
 
 
 def _modules():
