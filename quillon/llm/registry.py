@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "exact_dedup")
+MODULES = ("chat", "secrets", "quality", "pii", "exact_dedup", "bpe", "langid", "packing")
 
 
 def _modules():
