@@ -1,0 +1,133 @@
+"""Language identification, quality and packing: held-out accuracy and brute force."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import langid, packing, quality
+
+DIR = "/root/testdata/sf0.1"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = langid.predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    assert len(got) > 1000
+    assert (got["lang_pred"] == got["lang"]).mean() > 0.99
+    assert got["score"].between(0, 1).all()
+
+
+def test_language_mixtures(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").filter("lang is not null and length(text) > 1500")
+    langs, table = langid.learn(docs)
+    de, fr = (docs.filter(F.col("lang") == x).first()["text"][:1500] for x in ("de", "fr"))
+    chosen = dict(langid.identify(de + "\n" + fr, table))
+    assert {langs[k] for k in chosen} == {"de", "fr"} and all(0.3 < s < 0.7 for s in chosen.values())
+    assert [langs[k] for k, _ in langid.identify(de, table)] == ["de"]
+
+
+def test_language_edge_rows(spark):
+    df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "123 !?", None), (4, "the cat sat", "en"), (6, "le chat noir", "fr"), (6, "le chat noir", "fr"), (None, "the cat", None)], "doc_id long, text string, lang string").withColumn("score", F.lit(9))
+    rows = {(r.doc_id, r.lang_pred) for r in langid.predict_languages(df).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (6, "fr")} < rows
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == 4
+    assert langid.predict_languages(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.predict_languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score_quality(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
+    good, bad = got[got["quality"] == 1], got[got["quality"] == 0]
+    assert good["predicted"].mean() > 0.97 and bad["predicted"].mean() < 0.1
+    assert got["score"].between(0, 1).all()
+
+
+def test_quality_edge_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x")], "doc_id long, text string").withColumn("score", F.lit("x"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r.score for r in quality.score_quality(docs, none).collect()] == [0.5] * 5
+    same = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    assert quality.score_quality(docs, same).filter("predicted = 1").count() == 5
+    assert quality.score_quality(docs.limit(0), same).count() == 0
+
+
+def test_rules_are_paths_and_the_column_scores_them(spark):
+    rng = np.random.default_rng(0)
+    x = rng.random((400, len(quality.STATISTICS)))
+    y = ((x[:, 3] > 0.5) & (x[:, 5] <= 0.4)).astype(float)
+    intercept, rules = quality.fit(x, y)
+    assert 0 < len(rules) < 60
+    want = 1 / (1 + np.exp(-(intercept + sum(w * quality.applies(r, x) for r, w in rules))))
+    assert ((want > 0.5) == (y == 1)).mean() > 0.98
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x[:50]], ", ".join(f"{s} double" for s in quality.STATISTICS))
+    got = [r[0] for r in df.select(quality.compile_rules(intercept, rules)).collect()]
+    assert np.allclose(got, want[:50])
+
+
+def first_fit(sizes, capacity):
+    bins, out = [], []
+    for s in sizes:
+        for i, room in enumerate(bins):
+            if room >= s:
+                break
+        else:
+            i = len(bins)
+            bins.append(capacity)
+        out.append((i, capacity - bins[i]))
+        bins[i] -= s
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tournament_tree_is_first_fit(seed):
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.integers(1, 50, rng.integers(1, 80)).tolist(), reverse=True)
+    assert list(zip(*packing.first_fit(sizes, 50), strict=True)) == first_fit(sizes, 50)
+
+
+def check_packing(rows, texts, length, slack):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PATH)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == {i for i, _ in texts}
+    for i, text in texts:
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert 0 < at <= length
+    total = sum(r.length for r in rows)
+    assert len(by_sequence) * length <= total * slack + length
+
+
+def test_packing_of_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check_packing(packing.pack(docs, PATH).collect(), [(r.doc_id, r.text) for r in docs.collect()], 1024, 1.02)
+    check_packing(packing.pack(docs, PATH, group=64).collect(), [(r.doc_id, r.text) for r in docs.collect()], 1024, 1.2)
+
+
+def test_packing_edge_rows(spark):
+    df = spark.createDataFrame([(2**53 + 1, None), (2, ""), (3, "word " * 5000), (None, "x")], "doc_id long, text string").withColumn("start", F.lit("x"))
+    check_packing(packing.pack(df, PATH).collect(), [(r.doc_id, r.text) for r in df.collect()], 1024, 9)
+    twice = df.filter("doc_id = 2").unionAll(df.filter("doc_id = 2"))
+    assert len({(r.sequence_id, r.offset) for r in packing.pack(twice, PATH).collect()}) == 2
+    assert packing.pack(df.limit(0), PATH).count() == 0
