@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,9 +98,7 @@ def _maybe_repeated(spark: SparkSession, bits: int, twice: np.ndarray):
     shared = spark.sparkContext.broadcast(twice)
 
     @F.pandas_udf("boolean")
-    def probe(h):
-        import pandas as pd
-
+    def probe(h: pd.Series) -> pd.Series:
         values, ok = h.to_numpy(np.int64), np.ones(len(h), bool)
         for p in _positions(values, bits):
             ok &= (shared.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1

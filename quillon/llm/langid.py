@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,9 +148,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
 
     @F.pandas_udf("boolean")
-    def identified(texts):
-        import pandas as pd
-
+    def identified(texts: pd.Series) -> pd.Series:
         found = (identify(t, model.value[1]) if t else [] for t in texts)
         return pd.Series([bool(f) and f[0][1] >= min_share for f in found], dtype=bool)
 
