@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ann", "chat", "secrets", "quality", "pii", "exact_dedup", "bpe", "langid", "packing")
+MODULES = ("ann", "chat", "secrets", "quality", "pii", "exact_dedup", "bpe", "langid", "ngram_join", "packing")
 
 
 def _modules():
