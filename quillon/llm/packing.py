@@ -49,7 +49,7 @@ class LibraryBpe(Bpe):
         super().learn(words)
         young, old = self.young, self.old
         missing = []
-        for w in set(words).difference(young):
+        for w in {w for w in words if w not in young}:
             if w in old:
                 young[w] = old[w]
             elif len(w) <= CACHED_LENGTH:
