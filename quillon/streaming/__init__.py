@@ -1,0 +1 @@
+"""The engine answers queries over stored tables; it has no streaming operators."""
