@@ -48,7 +48,7 @@ BUCKET_TOKENS, MIN_BUCKETS = 1 << 20, 64
 #: A token that so many documents of a batch have is sent once, with its count.
 HOT = 32
 KEY_BITS = 48
-ROUNDS = 3
+ROUNDS = 2
 #: Up to so many rows, decisions are broadcast to the texts.
 BROADCAST_ROWS = 200_000
 
@@ -363,23 +363,24 @@ def _fits(num: int, den: int):
 def class_roots(members: DataFrame, num: int, den: int) -> DataFrame:
     """members: one candidate a class. One row for each class that is linked with others and isn't the least of them: node, root (rids)."""
     at = F.posexplode("prefix").alias("place", "token")
-    spread = members.select("rid", "n", "alone", at).select("rid", "n", "token", (F.col("alone") + F.col("place")).alias("at"))
+    spread = members.select("rid", "n", "alone", at).select("rid", "n", "alone", "token", (F.col("alone") + F.col("place")).alias("at"))
     tokens = spread.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     spread = common.stored(spread.join(tokens, "token").withColumn("root", F.col("rid")), "prefixes")
     links = None
     width = float(np.log(den / num))
 
     def contracted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        named = rows.join(roots, rows["root"] == roots["node"], "left").select(*(rows[c] for c in ("rid", "n", "token", "at")), F.coalesce(roots["root"], rows["root"]).alias("root"))
+        named = rows.join(roots, rows["root"] == roots["node"], "left").select(*(rows[c] for c in ("rid", "n", "alone", "token", "at")), F.coalesce(roots["root"], rows["root"]).alias("root"))
         several = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("token")
         return common.stored(named.join(several, "token"), "prefixes")
 
     for r in range(ROUNDS + 1):
         a = spread.select("token", F.col("rid").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("root").alias("a_root"))
-        b = spread.select("token", F.col("rid").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("root").alias("b_root"))
+        b = spread.select("token", F.col("rid").alias("b"), F.col("n").alias("b_n"), "alone", F.col("at").alias("b_at"), F.col("root").alias("b_root"))
         if r < ROUNDS:
             band = lambda n: F.floor(F.log(n) / width + 0.5 * (r % 2))  # noqa: E731, B023
-            leader = F.min(F.struct(F.xxhash64("b", F.lit(r)).alias("h"), "b", "b_n", "b_at", "b_root")).alias("l")
+            # of near copies the one with the fewest tokens of its own is closest to the others
+            leader = F.min(F.struct("alone", F.xxhash64("b", F.lit(r)).alias("h"), "b", "b_n", "b_at", "b_root")).alias("l")
             leaders = b.groupBy("token", band("b_n").alias("band")).agg(leader).select("token", "band", "l.b", "l.b_n", "l.b_at", "l.b_root")
             pairs = a.withColumn("band", band("a_n")).join(leaders, ["token", "band"])
         else:
