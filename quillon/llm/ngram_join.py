@@ -53,7 +53,7 @@ ROUNDS = 2
 BROADCAST_ROWS = 200_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
