@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -24,6 +25,9 @@ from quillon.llm import common
 
 # Fixed value: how byte-level BPE splits words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Texts of these characters only split alike by the standard library, which is faster.
+PLAIN = re.compile("[^\x00-\x1b\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Words in each of the two generations of a worker's cache.
 CACHE_WORDS = 400_000
 #: Longer words are not cached; longer texts are encoded in pieces of about PIECE characters.
@@ -58,11 +62,14 @@ class Bpe:
             self.strings[i] = bytes(symbols[c] for c in token) if all(c in symbols for c in token) else token.encode()
         self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.words = regex.compile(PATTERN).findall
+        self.any_words = regex.compile(PATTERN).findall
         self.cut = regex.compile(r"\p{L} \p{L}")
         self.young: dict[str, bytes] = _Words(self)
         self.old: dict[str, bytes] = {}
 
+    def words(self, text: str) -> list[str]:
+        return self.any_words(text) if PLAIN.search(text) else PLAIN_PATTERN.findall(text)
+
     def merge(self, ids: list[int]) -> list[int]:
         """ids of a word's bytes, merged by rank, the leftmost of equal ranks first."""
         n, ranks = len(ids), self.ranks

@@ -48,14 +48,22 @@ class LibraryBpe(Bpe):
     def learn(self, words: list[str]) -> None:
         super().learn(words)
         young, old = self.young, self.old
-        missing = []
+        letters, others = [], []
         for w in {w for w in words if w not in young}:
             if w in old:
                 young[w] = old[w]
             elif len(w) <= CACHED_LENGTH:
-                missing.append(w)
-        if missing:
-            for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+                (letters if w[0] == " " and w[1:].isalpha() else others).append(w)
+        if letters:  # blanks before the words part them, so they go in one call
+            e = self.library.encode("".join(letters), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            cuts = [0, *((of[1:] != of[:-1]).nonzero()[0] * 4 + 4).tolist(), len(ids)]
+            if len(cuts) == len(letters) + 1:
+                young.update((w, ids[a:b]) for w, a, b in zip(letters, cuts, cuts[1:], strict=False))
+            else:
+                others += letters
+        if others:
+            for w, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
                 young[w] = np.array(e.ids, "<u4").tobytes()
 
 
