@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 
 from quillon.llm import common
 
-#: Filter bits, a power of two: 2^26 bits are two arrays of 8 MB, whatever the number of documents.
-MAX_BITS = 1 << 26
+#: Filter bits, a power of two: 2^28 bits are 32 MB in a worker, whatever the number of documents.
+MAX_BITS = 1 << 28
 MIN_BITS = 1 << 16
 BITS_PER_ROW = 16
 CHUNK_BITS = 1 << 20
@@ -42,42 +42,54 @@ def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h >> np.uint64(i * 32)) & np.uint64(bits - 1) for i in range(PROBES)]
 
 
+_CHUNKS = "chunk int, dense boolean, once binary, twice binary"
+
+
+def _chunk_rows(rows: list[tuple[int, bool, bytes, bytes]]) -> pa.RecordBatch:
+    chunk, dense, once, twice = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.record_batch([pa.array(chunk, pa.int32()), pa.array(dense, pa.bool_()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["chunk", "dense", "once", "twice"])
+
+
+def _bitmap(positions: np.ndarray, size: int) -> np.ndarray:
+    bits = np.zeros(size, bool)
+    bits[positions] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def _set_bits(bits: int):
-    """A task's chunks of the filter: which positions it set, and which of them more than once."""
+    """A task's chunks of the filter: which positions it set, and which of them more than once; as lists while they are few."""
+    size = min(CHUNK_BITS, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.zeros(bits // 8, np.uint8)
-        twice = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            for p in _positions(h, bits):
-                at, n = np.unique(p, return_counts=True)
-                byte, bit = (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-                seen = (once[byte] & bit) != 0
-                again = seen | (n > 1)
-                np.bitwise_or.at(once, byte, bit)
-                np.bitwise_or.at(twice, byte[again], bit[again])
-        step = min(CHUNK_BITS, bits) // 8
-        for k in range(0, bits // 8, step):
-            if once[k : k + step].any():
-                yield pa.record_batch([pa.array([k // step], pa.int32()), pa.array([once[k : k + step].tobytes()]), pa.array([twice[k : k + step].tobytes()])], names=["chunk", "once", "twice"])
+        found = [p for batch in batches for p in _positions(batch.column(0).to_numpy(zero_copy_only=False), bits)]
+        at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        edges = np.searchsorted(at, np.arange(0, bits + 1, size, dtype=np.uint64)).tolist()
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if b > a:
+                once = (at[a:b] - np.uint64(k * size)).astype(np.uint32)
+                twice = once[n[a:b] > 1]
+                dense = 32 * (b - a) > size
+                yield _chunk_rows([(k, dense, *((_bitmap(x, size) if dense else x).tobytes() for x in (once, twice)))])
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of many tasks to one a chunk: a bit two tasks set, or one set twice, is set twice."""
-    sums: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for k, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            o, t = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
-            if k in sums:
-                sums[k][1] |= t | (sums[k][0] & o)
-                sums[k][0] |= o
-            else:
-                sums[k] = [o.copy(), t.copy()]
-    for k, (o, t) in sums.items():
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([o.tobytes()]), pa.array([t.tobytes()])], names=["chunk", "once", "twice"])
+def _merge(size: int):
+    """Chunks of many tasks to one a chunk: a bit that two tasks set, or one set twice, is set twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, dense, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                o, t = (np.frombuffer(x, np.uint8) if dense else _bitmap(np.frombuffer(x, np.uint32), size) for x in parts)
+                if k in sums:
+                    sums[k][1] |= t | (sums[k][0] & o)
+                    sums[k][0] |= o
+                else:
+                    sums[k] = [o.copy(), t.copy()]
+        yield _chunk_rows([(k, True, o.tobytes(), t.tobytes()) for k, (o, t) in sums.items()])
+
+    return run
 
 
 def repeat_filter(hashes: DataFrame, rows: int) -> tuple[int, np.ndarray]:
@@ -85,12 +97,11 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[int, np.ndarray]:
     bits = MIN_BITS
     while bits < MAX_BITS and bits < rows * BITS_PER_ROW:
         bits *= 2
-    schema = "chunk int, once binary, twice binary"
-    merged = hashes.mapInArrow(_set_bits(bits), schema).repartition(max(1, bits // CHUNK_BITS), "chunk").mapInArrow(_merge, schema)
-    step = min(CHUNK_BITS, bits) // 8
+    size = min(CHUNK_BITS, bits)
+    merged = hashes.mapInArrow(_set_bits(bits), _CHUNKS).repartition(bits // size, "chunk").mapInArrow(_merge(size), _CHUNKS)
     twice = np.zeros(bits // 8, np.uint8)
     for k, part in merged.select("chunk", "twice").collect():  # at most MAX_BITS / CHUNK_BITS chunks
-        twice[k * step : (k + 1) * step] = np.frombuffer(part, np.uint8)
+        twice[k * size // 8 : (k + 1) * size // 8] = np.frombuffer(part, np.uint8)
     return bits, twice
 
 
