@@ -32,8 +32,8 @@ SMOOTHING = 0.1
 ROUNDS, TOLERANCE = 12, 1e-3
 #: Times half the logarithm of the trigrams that another language must add to the log likelihood.
 PENALTY = 4.0
-#: Documents whose largest proportion is below it are rejected by keep_identified.
-MIN_SHARE = 0.5
+#: Documents whose largest proportion is below it are rejected by keep_identified; texts in two or three languages stay.
+MIN_SHARE = 0.3
 SPAN = 1_000_000
 
 
@@ -77,6 +77,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for lang, own in sums.items():
             at = own.nonzero()[0]
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+        common.release()
 
     summed = chosen.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((BUCKETS, len(langs)), SMOOTHING)

@@ -216,6 +216,7 @@ def _send(words: int, buckets: int):
                 size += len(raw)
         if texts:
             yield batch_rows(number, ids, keys, texts)
+        common.release()
 
     return run
 
@@ -225,6 +226,7 @@ _RETURNED = "batch long, info binary, keys binary, who binary, freq binary"
 
 def _count(rows: pa.Table) -> pa.Table:
     """A bucket's packed rows: to every batch its tokens that two or more documents have, with their frequency."""
+    common.release()  # what the bucket before took
     batches, infos = rows["batch"].to_pylist(), rows["info"].to_pylist()
     packed = [(b, _unpack(k), np.frombuffer(w, np.uint16), np.frombuffer(c, np.uint32)) for b, k, w, c in zip(batches, rows["keys"].to_pylist(), rows["who"].to_pylist(), rows["counts"].to_pylist(), strict=True) if k is not None]
     out = {"batch": [b for b, i in zip(batches, infos, strict=True) if i is not None], "info": [i for i in infos if i is not None]}

@@ -86,6 +86,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     sums.append(zlib.crc32(piece))
                     sizes.append(n)
             yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in (starts, lengths, sums, sizes))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        common.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
