@@ -81,6 +81,12 @@ for strategy in ("nested", "block", "merge", "hash", "broadcast"):
     register(f"join_{strategy}", EQUI, EQUI_SQL, strategy)
 register("join_nested_theta", "SELECT supplier.s_suppkey, nation.n_nationkey FROM supplier,nation WHERE supplier.s_nationkey>=nation.n_nationkey", f"SELECT {named('supplier', 's_suppkey')}, {named('nation', 'n_nationkey')} FROM supplier, nation WHERE s_nationkey >= n_nationkey", "nested")
 
+# the timed joins: every column of two to five tables
+ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+register("experiment_two_tables", f"SELECT * FROM customer,orders WHERE {CO}", f"SELECT {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)} FROM customer, orders WHERE c_custkey = o_custkey")
+register("experiment_three_tables", f"SELECT * FROM region,nation,customer WHERE region.r_regionkey=nation.n_regionkey,{CN}", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)} FROM region, nation, customer WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey")
+register("experiment_five_tables", f"SELECT * FROM region,nation,customer,orders,supplier WHERE region.r_regionkey=nation.n_regionkey,{CN},{CO},supplier.s_nationkey=nation.n_nationkey,supplier.s_suppkey<=\"5\"", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)}, {named('supplier', *SUPPLIER)} FROM region, nation, customer, orders, supplier WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey AND c_custkey = o_custkey AND s_nationkey = n_nationkey AND s_suppkey <= 5")
+
 # aggregates and groups
 register("agg_global", "SELECT MAX(customer.c_nationkey), MIN(customer.c_nationkey), SUM(customer.c_nationkey), COUNT(customer.c_custkey), AVG(customer.c_nationkey) FROM customer", "SELECT max(c_nationkey) AS max_customer_c_nationkey, min(c_nationkey) AS min_customer_c_nationkey, CAST(sum(c_nationkey) AS BIGINT) AS sum_customer_c_nationkey, count(c_custkey) AS count_customer_c_custkey, avg(c_nationkey) AS avg_customer_c_nationkey FROM customer")
 register("agg_real", "SELECT MAX(lineitem.l_quantity), MIN(lineitem.l_quantity), SUM(lineitem.l_quantity), AVG(lineitem.l_quantity) FROM lineitem", "SELECT max(l_quantity) AS max_lineitem_l_quantity, min(l_quantity) AS min_lineitem_l_quantity, sum(l_quantity) AS sum_lineitem_l_quantity, avg(l_quantity) AS avg_lineitem_l_quantity FROM lineitem")
@@ -162,6 +168,27 @@ def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.search_range(_sorted_orders(spark, sf_dir), "o_custkey", 20, 40, high_inclusive=False)
 
 
+def index_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.search(indexes.search(_sorted_orders(spark, sf_dir), "o_custkey", 37), "o_orderkey", 1200)
+
+
+def index_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _sorted_orders(spark, sf_dir)
+    return spark.createDataFrame([(indexes.first_key(index, "o_custkey"), indexes.last_key(index, "o_custkey"))], "first_key long, last_key long")
+
+
+def index_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, orders = _new_path(spark, "index"), engine(spark, sf_dir).catalog.table("orders").select("o_orderkey", "o_custkey")
+    indexes.build_sorted(orders.filter("o_custkey >= 100"), ["o_custkey"], path)
+    indexes.insert(spark, path, orders.filter("o_custkey < 100"), ["o_custkey"])
+    return indexes.search_range(spark.read.parquet(path), "o_custkey", 90, 110)
+
+
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _sorted_orders(spark, sf_dir)
+    return indexes.search_range(indexes.delete(index, "o_custkey", 37, _new_path(spark, "index"), ["o_custkey"]), "o_custkey", 30, 40)
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
     session = engine(spark, sf_dir)
     for table, key in (("orders", "o_custkey"), ("customer", "c_custkey")):
@@ -181,7 +208,7 @@ def sort_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.sort_table(engine(spark, sf_dir).catalog.table("supplier"), ["s_acctbal", "s_suppkey"], _new_path(spark, "sorted"))
 
 
-QUERIES |= {f.__name__: f for f in (det_schema, generated, text_round_trip, table_stats, result_lines, dump_lines, index_search, index_range, join_index, join_index_range, sort_tool)}
+QUERIES |= {f.__name__: f for f in (det_schema, generated, text_round_trip, table_stats, result_lines, dump_lines, index_search, index_range, index_composite, index_bounds, index_insert, index_delete, join_index, join_index_range, sort_tool)}
 ORACLE_SQL |= {
     "det_schema": "SELECT * FROM (VALUES ('id', 'INTEGER', 500::BIGINT, 'PK', 4::BIGINT), ('grp', 'INTEGER', 7, 'NK', 4), ('ref', 'INTEGER', 500, 'FK', 4), ('amount', 'REAL', 90, 'NK', 4), ('name', 'STRING', 34, 'NK', 68)) t(name, type, range, key, bytes)",
     "generated": "SELECT 500::BIGINT AS n, 500::BIGINT AS ids, 0::INTEGER AS first_id, 499::INTEGER AS last_id, 500::BIGINT AS grps, 500::BIGINT AS amounts, 500::BIGINT AS names",
@@ -191,6 +218,10 @@ ORACLE_SQL |= {
     "dump_lines": "SELECT r_regionkey || ',' || r_name AS line FROM region",
     "index_search": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 37",
     "index_range": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey >= 20 AND o_custkey < 40",
+    "index_composite": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 37 AND o_orderkey = 1200",
+    "index_bounds": "SELECT min(o_custkey) AS first_key, max(o_custkey) AS last_key FROM orders",
+    "index_insert": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 90 AND 110",
+    "index_delete": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 30 AND 40 AND o_custkey <> 37",
     "join_index": EQUI_SQL,
     "join_index_range": f"SELECT {named('customer', 'c_custkey')}, {named('orders', 'o_orderkey')} FROM customer, orders WHERE c_custkey >= o_custkey AND c_custkey < 10",
     "sort_tool": "SELECT * FROM supplier",
