@@ -25,9 +25,10 @@ from quillon.llm import common
 
 # Fixed value: how byte-level BPE splits words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Texts of these characters only split alike by the standard library, which is faster.
-PLAIN = re.compile("[^\x00-\x1b\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
-PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Texts of these characters only split alike by the standard library, which is faster: ASCII and Latin letters.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = re.compile(f"[^\x00-\x1b\x20-\x7e{_LETTERS}]")
+PLAIN_PATTERN = re.compile(rf" ?[{_LETTERS}]++|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]++| ?[^ \t\n\r\f\v0-9{_LETTERS}]++|\s+(?!\S)|\s+")
 #: Words in each of the two generations of a worker's cache.
 CACHE_WORDS = 400_000
 #: Longer words are not cached; longer texts are encoded in pieces of about PIECE characters.

@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ class LibraryBpe(Bpe):
         self.library = Tokenizer.from_buffer(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.blank_first = np.array([x[:1] == b" " for x in self.strings])
 
     def encode_word(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -49,17 +51,16 @@ class LibraryBpe(Bpe):
         super().learn(words)
         young, old = self.young, self.old
         letters, others = [], []
-        for w in {w for w in words if w not in young}:
+        for w in [w for w in set(words) if w not in young]:
             if w in old:
                 young[w] = old[w]
             elif len(w) <= CACHED_LENGTH:
                 (letters if w[0] == " " and w[1:].isalpha() else others).append(w)
-        if letters:  # blanks before the words part them, so they go in one call
-            e = self.library.encode("".join(letters), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-            cuts = [0, *((of[1:] != of[:-1]).nonzero()[0] * 4 + 4).tolist(), len(ids)]
+        if letters:  # they go in one call; ids that begin with a blank part them
+            ids = np.array(self.library.encode_batch_fast(["".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, packed = [*(self.blank_first[ids].nonzero()[0] * 4).tolist(), 4 * len(ids)], ids.tobytes()
             if len(cuts) == len(letters) + 1:
-                young.update((w, ids[a:b]) for w, a, b in zip(letters, cuts, cuts[1:], strict=False))
+                young.update(zip(letters, [packed[a:b] for a, b in pairwise(cuts)], strict=True))
             else:
                 others += letters
         if others:
