@@ -30,7 +30,7 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN = re.compile(f"[^\x00-\x1b\x20-\x7e{_LETTERS}]")
 PLAIN_PATTERN = re.compile(rf" ?[{_LETTERS}]++|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]++| ?[^ \t\n\r\f\v0-9{_LETTERS}]++|\s+(?!\S)|\s+")
 #: Words in each of the two generations of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Longer words are not cached; longer texts are encoded in pieces of about PIECE characters.
 CACHED_LENGTH, PIECE = 64, 1_000_000
 

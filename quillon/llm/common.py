@@ -14,15 +14,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Documents are long, so fewer of them go to a Python worker at a time than Spark's default of 10,000 rows.
+BATCH_ROWS = "2000"
 #: At most so many keys can each hold more than 1/HEAVY_KEYS of the rows; only such keys are broadcast.
 HEAVY_KEYS = 1024
 
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application; unless they are set, size batches for documents."""
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -32,8 +32,8 @@ SMOOTHING = 0.1
 ROUNDS, TOLERANCE = 12, 1e-3
 #: Times half the logarithm of the trigrams that another language must add to the log likelihood.
 PENALTY = 4.0
-#: Documents whose largest proportion is below it are rejected by keep_identified; texts in two or three languages stay.
-MIN_SHARE = 0.3
+#: Documents whose largest proportion is below it are rejected by keep_identified; texts in two languages stay.
+MIN_SHARE = 0.4
 SPAN = 1_000_000
 
 
