@@ -107,6 +107,9 @@ class Bpe:
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, _Words(self)
 
+    def forget(self) -> None:
+        self.young, self.old = _Words(self), {}
+
     def _plain(self, text: str) -> bytes:
         if len(text) <= PIECE:
             words = self.words(text)

@@ -68,8 +68,8 @@ class LibraryBpe(Bpe):
                 young[w] = np.array(e.ids, "<u4").tobytes()
 
 
-def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens."""
+def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_words: bool = True) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens. keep_words: whether workers keep their words for the next task."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +87,8 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     sums.append(zlib.crc32(piece))
                     sizes.append(n)
             yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in (starts, lengths, sums, sizes))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        if not keep_words:
+            bpe.forget()
         common.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -119,9 +121,9 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP, keep_words: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = common.stored(cut_pieces(docs, path, id_col, text_col, length), "pieces")
+    pieces = common.stored(cut_pieces(docs, path, id_col, text_col, length, keep_words), "pieces")
     whole = pieces.filter(F.col("length") == length).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.filter(F.col("length") < length)
     groups = max(1, -(-rest.count() // group))
