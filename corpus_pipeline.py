@@ -37,11 +37,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 1024."""
+    """Token pieces with their places in sequences of 1024. Other stages need the workers' memory, so their words go after each task."""
     import public_tokenizers
 
     common.ship(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_words=False)
 
 
 STAGES = [
