@@ -151,10 +151,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _distinct(rows: DataFrame, keep: int) -> DataFrame:
-    """One row a distinct vector: vec, ids (its keep smallest), n. Each task sends at most keep rows of a vector."""
-    order = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    few = rows.distinct().withColumn("order", order).filter(F.col("order") <= keep)
-    return few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """One row a distinct vector: vec, ids (its keep smallest). Each task sends at most keep ids of a vector, and vectors move once."""
+    order = F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))
+    few = rows.withColumn("order", order).filter(F.col("order") <= keep)
+    return few.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
 def _raised(x: np.ndarray, norm: float) -> np.ndarray:
