@@ -86,6 +86,7 @@ ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderda
 register("experiment_two_tables", f"SELECT * FROM customer,orders WHERE {CO}", f"SELECT {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)} FROM customer, orders WHERE c_custkey = o_custkey")
 register("experiment_three_tables", f"SELECT * FROM region,nation,customer WHERE region.r_regionkey=nation.n_regionkey,{CN}", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)} FROM region, nation, customer WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey")
 register("experiment_five_tables", f"SELECT * FROM region,nation,customer,orders,supplier WHERE region.r_regionkey=nation.n_regionkey,{CN},{CO},supplier.s_nationkey=nation.n_nationkey,supplier.s_suppkey<=\"5\"", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)}, {named('supplier', *SUPPLIER)} FROM region, nation, customer, orders, supplier WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey AND c_custkey = o_custkey AND s_nationkey = n_nationkey AND s_suppkey <= 5")
+register("experiment_five_tables_whole", f"SELECT * FROM region,nation,customer,orders,supplier WHERE region.r_regionkey=nation.n_regionkey,{CN},{CO},supplier.s_nationkey=nation.n_nationkey", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)}, {named('supplier', *SUPPLIER)} FROM region, nation, customer, orders, supplier WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey AND c_custkey = o_custkey AND s_nationkey = n_nationkey")
 
 # aggregates and groups
 register("agg_global", "SELECT MAX(customer.c_nationkey), MIN(customer.c_nationkey), SUM(customer.c_nationkey), COUNT(customer.c_custkey), AVG(customer.c_nationkey) FROM customer", "SELECT max(c_nationkey) AS max_customer_c_nationkey, min(c_nationkey) AS min_customer_c_nationkey, CAST(sum(c_nationkey) AS BIGINT) AS sum_customer_c_nationkey, count(c_custkey) AS count_customer_c_custkey, avg(c_nationkey) AS avg_customer_c_nationkey FROM customer")
