@@ -190,9 +190,9 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.search_range(indexes.delete(index, "o_custkey", 37, _new_path(spark, "index"), ["o_custkey"]), "o_custkey", 30, 40)
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> Engine:
+def _indexed(spark: SparkSession, sf_dir: str, *keys: tuple[str, str]) -> Engine:
     session = engine(spark, sf_dir)
-    for table, key in (("orders", "o_custkey"), ("customer", "c_custkey")):
+    for table, key in keys or (("orders", "o_custkey"), ("customer", "c_custkey")):
         session.catalog.add_index(table, key, indexes.build_sorted(session.catalog.table(table), [key], _new_path(spark, "index")))
     return session
 
@@ -205,11 +205,15 @@ def join_index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexed(spark, sf_dir).sql('SELECT customer.c_custkey, orders.o_orderkey FROM customer,orders WHERE customer.c_custkey>=orders.o_custkey,customer.c_custkey<"10"', "index")
 
 
+def join_index_range_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, ("supplier", "s_nationkey"), ("nation", "n_nationkey")).sql("SELECT supplier.s_suppkey, nation.n_nationkey FROM supplier,nation WHERE supplier.s_nationkey>=nation.n_nationkey", "index")
+
+
 def sort_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.sort_table(engine(spark, sf_dir).catalog.table("supplier"), ["s_acctbal", "s_suppkey"], _new_path(spark, "sorted"))
 
 
-QUERIES |= {f.__name__: f for f in (det_schema, generated, text_round_trip, table_stats, result_lines, dump_lines, index_search, index_range, index_composite, index_bounds, index_insert, index_delete, join_index, join_index_range, sort_tool)}
+QUERIES |= {f.__name__: f for f in (det_schema, generated, text_round_trip, table_stats, result_lines, dump_lines, index_search, index_range, index_composite, index_bounds, index_insert, index_delete, join_index, join_index_range, join_index_range_whole, sort_tool)}
 ORACLE_SQL |= {
     "det_schema": "SELECT * FROM (VALUES ('id', 'INTEGER', 500::BIGINT, 'PK', 4::BIGINT), ('grp', 'INTEGER', 7, 'NK', 4), ('ref', 'INTEGER', 500, 'FK', 4), ('amount', 'REAL', 90, 'NK', 4), ('name', 'STRING', 34, 'NK', 68)) t(name, type, range, key, bytes)",
     "generated": "SELECT 500::BIGINT AS n, 500::BIGINT AS ids, 0::INTEGER AS first_id, 499::INTEGER AS last_id, 500::BIGINT AS grps, 500::BIGINT AS amounts, 500::BIGINT AS names",
@@ -225,5 +229,6 @@ ORACLE_SQL |= {
     "index_delete": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 30 AND 40 AND o_custkey <> 37",
     "join_index": EQUI_SQL,
     "join_index_range": f"SELECT {named('customer', 'c_custkey')}, {named('orders', 'o_orderkey')} FROM customer, orders WHERE c_custkey >= o_custkey AND c_custkey < 10",
+    "join_index_range_whole": f"SELECT {named('supplier', 's_suppkey')}, {named('nation', 'n_nationkey')} FROM supplier, nation WHERE s_nationkey >= n_nationkey",
     "sort_tool": "SELECT * FROM supplier",
 }

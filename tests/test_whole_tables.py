@@ -18,3 +18,11 @@ def test_five_tables(spark):
     got = catalogue.QUERIES["experiment_five_tables_whole"](spark, DIR)
     assert sorted((r.orders_o_orderkey, r.supplier_s_suppkey) for r in got.collect()) == want
     assert max(s for _, s in want) > 5
+
+
+def test_index_range_join(spark):
+    """Every supplier meets every nation up to its own, and both sides are read from their sorted copies."""
+    want = sorted((s["s_suppkey"], n["n_nationkey"]) for s in rows("supplier") for n in rows("nation") if s["s_nationkey"] >= n["n_nationkey"])
+    got = catalogue.QUERIES["join_index_range_whole"](spark, DIR)
+    assert sorted((r.supplier_s_suppkey, r.nation_n_nationkey) for r in got.collect()) == want
+    assert all("/index-" in f for f in got.inputFiles())
