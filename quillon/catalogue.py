@@ -77,6 +77,7 @@ register("join_multi_cond", "SELECT customer.c_custkey, supplier.s_suppkey FROM
 register("join_cycle", f"SELECT customer.c_custkey, supplier.s_suppkey, nation.n_name FROM customer,supplier,nation WHERE {CN},supplier.s_nationkey=nation.n_nationkey,customer.c_nationkey=supplier.s_nationkey,customer.c_acctbal<supplier.s_acctbal", f"SELECT {named('customer', 'c_custkey')}, {named('supplier', 's_suppkey')}, {named('nation', 'n_name')} FROM customer, supplier, nation WHERE c_nationkey = n_nationkey AND s_nationkey = n_nationkey AND c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
 register("cross_join", "SELECT * FROM region,nation", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)} FROM region, nation")
 register("cross_components", 'SELECT region.r_name, nation.n_name, supplier.s_suppkey FROM region,nation,supplier WHERE nation.n_nationkey=supplier.s_nationkey,region.r_regionkey<"2"', f"SELECT {named('region', 'r_name')}, {named('nation', 'n_name')}, {named('supplier', 's_suppkey')} FROM region, nation, supplier WHERE n_nationkey = s_nationkey AND r_regionkey < 2")
+register("cross_components_whole", "SELECT region.r_name, nation.n_name, supplier.s_suppkey FROM region,nation,supplier WHERE nation.n_nationkey=supplier.s_nationkey", f"SELECT {named('region', 'r_name')}, {named('nation', 'n_name')}, {named('supplier', 's_suppkey')} FROM region, nation, supplier WHERE n_nationkey = s_nationkey")
 for strategy in ("nested", "block", "merge", "hash", "broadcast"):
     register(f"join_{strategy}", EQUI, EQUI_SQL, strategy)
 register("join_nested_theta", "SELECT supplier.s_suppkey, nation.n_nationkey FROM supplier,nation WHERE supplier.s_nationkey>=nation.n_nationkey", f"SELECT {named('supplier', 's_suppkey')}, {named('nation', 'n_nationkey')} FROM supplier, nation WHERE s_nationkey >= n_nationkey", "nested")
@@ -110,6 +111,7 @@ register("order_asc", "SELECT customer.c_custkey, customer.c_acctbal FROM custom
 register("order_desc_two", "SELECT customer.c_nationkey, customer.c_custkey FROM customer ORDERBY customer.c_nationkey, customer.c_custkey DESC", f"SELECT {named('customer', 'c_nationkey', 'c_custkey')} FROM customer ORDER BY c_nationkey DESC, c_custkey DESC")
 register("order_unselected", "SELECT customer.c_name FROM customer ORDERBY customer.c_acctbal", f"SELECT {named('customer', 'c_name')} FROM customer ORDER BY c_acctbal")
 register("order_star", f'SELECT * FROM supplier,nation WHERE supplier.s_nationkey=nation.n_nationkey,supplier.s_suppkey<"60" ORDERBY supplier.s_acctbal', f"SELECT {named('supplier', *SUPPLIER)}, {named('nation', *NATION)} FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_suppkey < 60 ORDER BY s_acctbal")
+register("order_star_whole", "SELECT * FROM supplier,nation WHERE supplier.s_nationkey=nation.n_nationkey ORDERBY supplier.s_acctbal", f"SELECT {named('supplier', *SUPPLIER)}, {named('nation', *NATION)} FROM supplier, nation WHERE s_nationkey = n_nationkey ORDER BY s_acctbal")
 FLAGSHIP = f"SELECT nation.n_name, COUNT(lineitem.l_orderkey), SUM(lineitem.l_quantity), MAX(lineitem.l_extendedprice) {FOUR} GROUPBY nation.n_name ORDERBY nation.n_name"
 register("flagship", FLAGSHIP, f"SELECT n_name AS nation_n_name, count(l_orderkey) AS count_lineitem_l_orderkey, sum(l_quantity) AS sum_lineitem_l_quantity, max(l_extendedprice) AS max_lineitem_l_extendedprice {FOUR_SQL} GROUP BY n_name ORDER BY n_name")
 

@@ -26,3 +26,18 @@ def test_index_range_join(spark):
     got = catalogue.QUERIES["join_index_range_whole"](spark, DIR)
     assert sorted((r.supplier_s_suppkey, r.nation_n_nationkey) for r in got.collect()) == want
     assert all("/index-" in f for f in got.inputFiles())
+
+
+def test_ordered_join(spark):
+    """Every supplier, by its balance."""
+    want = sorted(s["s_acctbal"] for s in rows("supplier"))
+    got = catalogue.QUERIES["order_star_whole"](spark, DIR).collect()
+    assert [r.supplier_s_acctbal for r in got] == want and {r.supplier_s_suppkey for r in got} == {s["s_suppkey"] for s in rows("supplier")}
+
+
+def test_crossed_components(spark):
+    """Every region meets every supplier."""
+    nations = {n["n_nationkey"]: n["n_name"] for n in rows("nation")}
+    want = sorted((r["r_name"], nations[s["s_nationkey"]], s["s_suppkey"]) for r in rows("region") for s in rows("supplier"))
+    got = catalogue.QUERIES["cross_components_whole"](spark, DIR)
+    assert sorted((r.region_r_name, r.nation_n_name, r.supplier_s_suppkey) for r in got.collect()) == want
