@@ -12,7 +12,7 @@ from quillon.llm import common, exact_dedup, langid, ngram_join, packing, secret
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a language that makes up two fifths of them."""
+    """Drops documents without letters; those in several languages stay."""
     common.ship(spark)
     return langid.keep_identified(docs)
 

@@ -32,8 +32,6 @@ SMOOTHING = 0.1
 ROUNDS, TOLERANCE = 12, 1e-3
 #: Times half the logarithm of the trigrams that another language must add to the log likelihood.
 PENALTY = 4.0
-#: Documents whose largest proportion is below it are rejected by keep_identified; texts in two languages stay.
-MIN_SHARE = 0.4
 SPAN = 1_000_000
 
 
@@ -143,15 +141,14 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _predict(rows, langs, table, f"doc_id {kind}, held_out boolean, lang_pred string, score double, langs string", 2)
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language that makes up min_share of it."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language, however many others it has: all but those that are und."""
     langs, table = learn(docs, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
 
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
-        found = (identify(t, model.value[1]) if t else [] for t in texts)
-        return pd.Series([bool(f) and f[0][1] >= min_share for f in found], dtype=bool)
+        return pd.Series([bool(t) and bool(identify(t, model.value[1])) for t in texts], dtype=bool)
 
     return docs.filter(identified(F.col(text_col)))
 
