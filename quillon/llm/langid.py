@@ -25,8 +25,8 @@ from quillon.llm import common
 
 #: About so many documents a language are learned from, chosen by a hash of the id; all, if fewer.
 SAMPLE_DOCS = 4000
-#: The most frequent languages, so many at most, are learned.
-MAX_LANGS = 128
+#: A task holds the counts of so many languages before it sends them on.
+HELD_LANGS = 64
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 ROUNDS, TOLERANCE = 12, 1e-3
@@ -37,8 +37,8 @@ SPAN = 1_000_000
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point up to 0x20000, itself if a letter, else 0."""
-    return np.array([c if not 0xD800 <= c < 0xE000 and chr(c).isalpha() else 0 for c in range(0x20000)], np.uint32)
+    """For each code point, itself if a letter, else 0."""
+    return np.array([c if not 0xD800 <= c < 0xE000 and chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -46,7 +46,7 @@ def trigrams(text: str) -> np.ndarray:
     table, parts = _letters(), []
     for at in range(0, len(text), SPAN):
         points = np.frombuffer(text[at : at + SPAN].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        parts.append(table[np.minimum(points, len(table) - 1)])
+        parts.append(table[points])
     x = np.concatenate([np.zeros(1, np.uint32), *parts, np.zeros(1, np.uint32)])
     x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))].astype(np.uint64)
     if len(x) < 3:
@@ -55,33 +55,58 @@ def trigrams(text: str) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and the probability of each trigram bucket in each."""
+class Likelihoods:
+    """The probability of each trigram bucket in each language; only the counts that aren't 0 are held."""
+
+    def __init__(self, bucket: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int):
+        order = np.lexsort((lang, bucket))
+        self.shape = (BUCKETS, langs)
+        self.edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.lang, self.n = lang[order].astype(np.int32), n[order].astype(np.float64)
+        self.total = SMOOTHING * BUCKETS + np.bincount(lang, n, minlength=langs)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """The rows of some buckets."""
+        first, size = self.edges[at], self.edges[at + 1] - self.edges[at]
+        row = np.repeat(np.arange(len(at)), size)
+        held = np.arange(len(row)) + np.repeat(first - (np.cumsum(size) - size), size)
+        p = np.full((len(at), self.shape[1]), SMOOTHING)
+        p[row, self.lang[held]] += self.n[held]
+        return p / self.total
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> tuple[list[str], Likelihoods]:
+    """All labelled languages, sorted, and the probability of each trigram bucket in each."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & ~common.held_out(F.col("doc_id")))
-    counts = rows.filter(F.col("text").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.filter(F.col("text").isNotNull()).groupBy("lang").count().collect()
     langs = sorted(x["lang"] for x in counts)
     if not langs:
-        return [], np.zeros((BUCKETS, 0))
+        return [], Likelihoods(*(np.empty(0, np.int64) for _ in range(3)), 0)
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    share = F.create_map(*(c for x in counts for c in (F.lit(x["lang"]), F.lit(int(min(1.0, sample / x["count"]) * (1 << 20))))))
-    chosen = rows.filter(F.col("text").isNotNull() & F.col("lang").isin(langs) & (place < share[F.col("lang")])).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(x["lang"], int(min(1.0, sample / x["count"]) * (1 << 20))) for x in counts], "lang string, share long")
+    chosen = rows.filter(F.col("text").isNotNull()).join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "text")
+
+    def sent(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, own in sums.items():
+            at = own.nonzero()[0]
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+        sums.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lang not in sums and len(sums) == HELD_LANGS:
+                    yield from sent(sums)
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(trigrams(text), minlength=BUCKETS)
-        for lang, own in sums.items():
-            at = own.nonzero()[0]
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+        yield from sent(sums)
         common.release()
 
     summed = chosen.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((BUCKETS, len(langs)), SMOOTHING)
-    found = summed.toPandas()  # at most MAX_LANGS times BUCKETS numbers
-    table[found["bucket"].to_numpy(np.int64), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)] += found["n"].to_numpy(float)
-    return langs, table / table.sum(axis=0)
+    found = summed.toPandas()  # at most BUCKETS numbers a language
+    column = found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+    return langs, Likelihoods(found["bucket"].to_numpy(np.int64), column, found["n"].to_numpy(np.int64), len(langs))
 
 
 def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -97,7 +122,7 @@ def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndar
     return share, float(n @ np.log(p @ share))
 
 
-def identify(text: str, table: np.ndarray) -> list[tuple[int, float]]:
+def identify(text: str, table: Likelihoods) -> list[tuple[int, float]]:
     """(column, proportion) of the chosen languages, the largest first; none without letters."""
     grams = trigrams(text) if table.shape[1] else np.empty(0, np.int64)
     if not len(grams):
@@ -117,9 +142,9 @@ def identify(text: str, table: np.ndarray) -> list[tuple[int, float]]:
     return [(int(k), float(s)) for k, s in found]
 
 
-def _predict(rows: DataFrame, langs: list[str], table: np.ndarray, schema: str, keep: int) -> DataFrame:
+def _predict(rows: DataFrame, langs: list[str], table: Likelihoods, schema: str, keep: int) -> DataFrame:
     """rows has the text as its last column; the result has the first keep columns and lang_pred, score, langs."""
-    model = rows.sparkSession.sparkContext.broadcast((langs, table))  # at most MAX_LANGS times BUCKETS numbers
+    model = rows.sparkSession.sparkContext.broadcast((langs, table))  # at most BUCKETS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, p = model.value

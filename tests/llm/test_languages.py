@@ -13,3 +13,24 @@ def test_a_text_in_four_languages_stays(spark):
     langs, table = langid.learn(df)
     assert max(s for _, s in langid.identify(even, table)) < 0.4
     assert {r.doc_id for r in langid.keep_identified(df).filter("doc_id >= 99").collect()} == {99}
+
+
+def test_every_labelled_language_is_learned(spark):
+    """140 languages, each of an alphabet of its own; the rarest has one document."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3 * 140)]
+    text = lambda k: " ".join(["".join(letters[3 * k : 3 * k + 3])] * 30)
+    rows = [(1000 * k + i, text(k), f"x{k:03d}") for k in range(140) for i in range(3 if k < 139 else 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labelled = {r.lang for r in df.filter(~langid.common.held_out(df["doc_id"])).select("lang").distinct().collect()}
+    assert len(labelled) > 128
+    langs, table = langid.learn(df)
+    assert langs == sorted(labelled) and table.shape[1] == len(langs)
+    assert all(langs[langid.identify(text(int(x[1:])), table)[0][0]] == x for x in langs)
+
+
+def test_letters_beyond_the_first_planes(spark):
+    rare = "\U00020000\U00020001\U0002A6D6 " * 20
+    assert len(langid.trigrams(rare)) and len(langid.trigrams("\U00030000"))
+    df = spark.createDataFrame([(i, rare, "lzh") for i in range(20)] + [(50 + i, WORDS["en"], "en") for i in range(20)], SCHEMA)
+    assert {(r.doc_id < 50, r.lang_pred) for r in langid.predict_languages(df).collect()} == {(True, "lzh"), (False, "en")}
+    assert langid.keep_identified(df).count() == 40
