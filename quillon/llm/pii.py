@@ -35,7 +35,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 SCHEMES = ("://",)
 CUES = ("account", "Account", "ACCOUNT", "acct", "IBAN", "iban", "passport", "Passport", "SSN", "ssn", "user id", "User ID", "customer id", "Customer ID")
-IDENTIFIER = re.compile(r"(?:\s?(?:number|no\.?|id|#))?\s?[:=#]?\s?([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
+# In capitals the middle word must end before the identifier: NO begins a Norwegian IBAN.
+MIDDLE = r"(?:\s?(?:number|no\.?|id|#|(?i:number|id)(?![A-Za-z0-9])|(?i:no)(?:\.|(?![A-Za-z0-9]))))?\s?[:=#]?\s?"
+IDENTIFIER = re.compile(MIDDLE + r"([A-Za-z0-9][A-Za-z0-9-]{5,33})(?![A-Za-z0-9-])")
+GROUPED = re.compile(MIDDLE + r"([A-Za-z]{2}[0-9]{2}(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])")
 USER_INFO = re.compile(r"[^\s/@:]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 
@@ -50,6 +53,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def grouped_end(value: str) -> int:
+    """Where an IBAN in groups ends: after its last group with which its check digits are right, or else after the last one with a digit."""
+    groups, ends = value.split(" "), []
+    for k in range(3, len(groups) + 1):
+        iban = "".join(groups[:k])
+        if int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1:
+            ends.append(k)
+    with_digits = max(k for k, g in enumerate(groups, 1) if any(c in "0123456789" for c in g))
+    return len(" ".join(groups[: ends[-1] if ends else with_digits]))
+
+
 def automaton():
     import ahocorasick
 
@@ -96,6 +110,8 @@ def find_spans(text: str, anchors) -> list[tuple[str, int, int]]:
                 start -= 1
             if start < at and (m := USER_INFO.match(text, end + 1)):
                 found["url"].append((start, m.end()))
+        elif word in ("IBAN", "iban") and (at == 0 or not text[at - 1].isalnum()) and (m := GROUPED.match(text, end + 1)) and sum(c in "0123456789" for c in m[1]) >= 4:
+            found["account"].append((m.start(1), m.start(1) + grouped_end(m[1])))
         elif (at == 0 or not text[at - 1].isalnum()) and (m := IDENTIFIER.match(text, end + 1)) and sum(c in "0123456789" for c in m[1]) >= 4:
             found["account"].append(m.span(1))
     return [(k, s, e) for k in (*BASE, *ADDED) for s, e in found[k]]
