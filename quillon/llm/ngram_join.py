@@ -18,8 +18,9 @@ costs a few comparisons a document instead of all pairs.
 Defined cases: null texts and texts without words have no tokens and are linked with nothing; texts with fewer
 words than an n-gram are one token; A-Z are lowercased, words are runs of characters other than
 ``[\\x20\\x09-\\x0D]``; a component is named by its smallest id (null only if it has no other); repeated rows
-link like equal texts; an empty table gives an empty result; other columns are carried by
-``drop_near_copies`` and ignored by ``similarity_groups``.
+link like equal texts; an empty table gives an empty result; a text may be of any length and is hashed a part at a time; of the ids of a tie
+the smallest names a component; other columns, whatever their names, are carried by ``drop_near_copies`` and
+ignored by the others.
 """
 
 from __future__ import annotations
@@ -47,12 +48,14 @@ BATCH_BYTES, BATCH_DOCS = 4 << 20, 16_384
 BUCKET_TOKENS, MIN_BUCKETS = 1 << 20, 64
 #: A token that so many documents of a batch have is sent once, with its count.
 HOT = 32
-KEY_BITS = 48
+KEY_BITS = 56
 ROUNDS = 2
 #: Up to so many rows, decisions are broadcast to the texts.
 BROADCAST_ROWS = 200_000
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose hashes are kept.
+KNOWN_WORDS = 200_000
 _CHUNK = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -63,66 +66,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random number for each byte, A-Z as a-z; which bytes are blank."""
-    values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
-    values[65:91] = values[97:123]
-    blank = np.zeros(256, bool)
-    blank[[32, 9, 10, 11, 12, 13]] = True
-    return values, blank
+class _Hashes(dict):
+    """Word to 64 bits of its BLAKE2b digest, so that no words can be chosen to meet."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
 
-_VALUES, _IS_BLANK = _tables()
 
+_hashes = _Hashes()
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
 
-
-_BASE = 0xD6E8FEB86659FD93
-_power_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _power_cache.get(0) is None or len(_power_cache[0][0]) < n:
-        size = max(n, _CHUNK + (1 << 16))
-        _power_cache[0] = (_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size))
-    return _power_cache[0]
-
-
-def _words(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word."""
-    starts, hashes, at = [], [], 0
-    while at < len(joined):
-        end = len(joined)
-        if at + _CHUNK < end:
-            m = _BLANK.search(joined, at + _CHUNK)
-            end = m.start() if m else end
-        raw = np.frombuffer(joined, np.uint8, end - at, at)
-        power, inverse = _power_tables(len(raw) + 1)
-        word = ~_IS_BLANK[raw]
-        edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
-        first, last = (edge == 1).nonzero()[0], (edge == -1).nonzero()[0]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(np.where(word, _VALUES[raw], np.uint64(0)) * power[: len(raw)], out=sums[1:])
-        hashes.append(_mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
-        starts.append(first + at)
-        at = end + 1
-    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+def _words(text: bytes) -> np.ndarray:
+    """The hashes of a text's words, a part of the text at a time: lower() and split() of bytes know A-Z and ``[\\x20\\x09-\\x0D]`` only."""
+    parts, at = [], 0
+    while at < len(text):
+        m = _BLANK.search(text, at + _CHUNK) if at + _CHUNK < len(text) else None
+        end = m.start() if m else len(text)
+        words = text[at:end].lower().split()
+        parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and hash of the distinct n-grams of each text, by document, then hash."""
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    starts, w = _words(b" ".join(texts))
-    doc = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    n_words = np.bincount(doc, minlength=len(texts))
-    factor = _powers(_MULTIPLIER | 1, words + 1)[1:]
+    hashed = [_words(t) for t in texts]
+    n_words = np.array([len(x) for x in hashed], np.int64)
+    w = np.concatenate([np.empty(0, np.uint64), *hashed])
+    doc = np.repeat(np.arange(len(texts)), n_words)
     n = len(w)
     if n >= words:
-        h = sum((w[j : n - words + 1 + j] * factor[j] for j in range(words)), np.zeros(n - words + 1, np.uint64))
+        h = w[: n - words + 1]
+        for j in range(1, words):
+            h = _mix(h * _MULTIPLIER + w[j : n - words + 1 + j])
         ok = doc[: n - words + 1] == doc[words - 1 :]
         h, d = h[ok], doc[: n - words + 1][ok]
     else:
@@ -130,10 +109,10 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     short = ((n_words > 0) & (n_words < words)).nonzero()[0]
     if len(short):
         first = np.searchsorted(doc, short)
-        hs = n_words[short].astype(np.uint64)
+        hs = _mix(n_words[short].astype(np.uint64))
         for j in range(words - 1):
             has = n_words[short] > j
-            hs[has] += w[first[has] + j] * factor[j]
+            hs[has] = _mix(hs[has] * _MULTIPLIER + w[first[has] + j])
         h, d = np.concatenate([h, hs]), np.concatenate([d, short])
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
@@ -147,17 +126,17 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Ascending keys as 32-bit differences, or as they are where a difference is larger; the first byte tells."""
+    """Ascending keys as the first one and differences of as many bytes as the largest takes; the first byte tells."""
     steps = np.diff(keys, prepend=keys[:1])
-    if len(keys) and steps.max() < 1 << 32:
-        return b"d" + keys[:1].tobytes() + steps.astype(np.uint32).tobytes()
-    return b"k" + keys.tobytes()
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(keys) else 1
+    return bytes([width]) + keys[:1].tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    if packed[:1] == b"k":
-        return np.frombuffer(packed, np.uint64, offset=1)
-    return np.frombuffer(packed, np.uint64, 1, 1) + np.cumsum(np.frombuffer(packed, np.uint32, offset=9), dtype=np.uint64)
+    steps = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, packed[0])
+    wide = np.zeros((len(steps), 8), np.uint8)
+    wide[:, : packed[0]] = steps
+    return np.frombuffer(packed, np.uint64, 1, 1) + np.cumsum(wide.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 _SENT = "bucket int, batch long, info binary, keys binary, who binary, counts binary"
@@ -362,57 +341,96 @@ def _fits(num: int, den: int):
     return (den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")) & ((den + num) * rest >= num * (F.col("a_n") + F.col("b_n")))
 
 
+def _prefixes(members: DataFrame) -> tuple[DataFrame, int]:
+    """A row for each token of the members' prefixes that several have: rid, n, alone, token, at, c (how many have it); the rows above which a token is hot."""
+    spread = members.select("rid", "n", "alone", F.posexplode("prefix").alias("place", "token")).select("rid", "n", "alone", "token", (F.col("alone") + F.col("place")).alias("at"))
+    tokens = common.stored(spread.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "tokens")
+    total = tokens.agg(F.sum("c")).first()[0] or 0
+    return common.stored(common.skew_safe_join(spread, tokens, "token", "c", total, "inner"), "prefixes"), max(total // common.HEAVY_KEYS, 1)
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """rows, each with its group's one row; both have c. Groups of hot tokens, HEAVY_KEYS tokens at most, are broadcast; no other token is large."""
+    cold = rows.filter(F.col("c") <= hot).join(groups.filter(F.col("c") <= hot).drop("c"), keys)
+    return rows.filter(F.col("c") > hot).join(F.broadcast(groups.filter(F.col("c") > hot).drop("c")), keys).unionByName(cold)
+
+
 def class_roots(members: DataFrame, num: int, den: int) -> DataFrame:
     """members: one candidate a class. One row for each class that is linked with others and isn't the least of them: node, root (rids)."""
-    at = F.posexplode("prefix").alias("place", "token")
-    spread = members.select("rid", "n", "alone", at).select("rid", "n", "alone", "token", (F.col("alone") + F.col("place")).alias("at"))
-    tokens = spread.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    spread = common.stored(spread.join(tokens, "token").withColumn("root", F.col("rid")), "prefixes")
+    spread, hot = _prefixes(members)
+    spread = spread.withColumn("root", F.col("rid"))
     links = None
     width = float(np.log(den / num))
 
     def contracted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        named = rows.join(roots, rows["root"] == roots["node"], "left").select(*(rows[c] for c in ("rid", "n", "alone", "token", "at")), F.coalesce(roots["root"], rows["root"]).alias("root"))
-        several = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("token")
-        return common.stored(named.join(several, "token"), "prefixes")
+        named = rows.drop("root").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        several = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("c").alias("c")).filter("x < y").select("token", "c")
+        return common.stored(_with_groups(named, several, ["token"], hot), "prefixes")
 
     for r in range(ROUNDS + 1):
-        a = spread.select("token", F.col("rid").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("root").alias("a_root"))
-        b = spread.select("token", F.col("rid").alias("b"), F.col("n").alias("b_n"), "alone", F.col("at").alias("b_at"), F.col("root").alias("b_root"))
+        a = spread.select("token", "c", F.col("rid").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("root").alias("a_root"))
+        b = spread.select("token", "c", F.col("rid").alias("b"), F.col("n").alias("b_n"), "alone", F.col("at").alias("b_at"), F.col("root").alias("b_root"))
         if r < ROUNDS:
             band = lambda n: F.floor(F.log(n) / width + 0.5 * (r % 2))  # noqa: E731, B023
             # of near copies the one with the fewest tokens of its own is closest to the others
             leader = F.min(F.struct("alone", F.xxhash64("b", F.lit(r)).alias("h"), "b", "b_n", "b_at", "b_root")).alias("l")
-            leaders = b.groupBy("token", band("b_n").alias("band")).agg(leader).select("token", "band", "l.b", "l.b_n", "l.b_at", "l.b_root")
-            pairs = a.withColumn("band", band("a_n")).join(leaders, ["token", "band"])
+            leaders = b.groupBy("token", band("b_n").alias("band")).agg(leader, F.max("c").alias("c")).select("token", "band", "c", "l.b", "l.b_n", "l.b_at", "l.b_root")
+            pairs = _with_groups(a.withColumn("band", band("a_n")), leaders, ["token", "band"], hot)
         else:
             pairs = a.join(b, "token").filter(F.col("a_root") < F.col("b_root"))
-        pairs = pairs.filter((F.col("a_root") != F.col("b_root")) & _fits(num, den)).select("a", "b", "a_root", "b_root").distinct()
-        found = common.stored(_linked(pairs.select("a", "b"), members, num, den), "links")
+        pairs = pairs.filter((F.col("a_root") != F.col("b_root")) & _fits(num, den)).select("a", "b").distinct()
+        found = common.stored(_linked(pairs, members, num, den), "links")
         new = found if links is None else links.unionByName(found)
         if links is not None and found.isEmpty():
             continue
         links = new
         roots = components(links)
         if r < ROUNDS:
-            spread = contracted(spread, roots)
+            before, spread = spread, contracted(spread, roots)
+            common.discard(before)
             if spread.isEmpty():
                 break
     return roots
 
 
-def _analysed_groups(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All documents, and of those that can have a partner: rid, doc_id, text_key, n, root (a rid)."""
-    rows = analysed(docs, words, num, den, id_col, text_col)
+def class_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members: one candidate a class. Every link between two classes: a, b (rids, a < b)."""
+    spread, _ = _prefixes(members)
+    a = spread.select("token", F.col("rid").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    b = spread.select("token", F.col("rid").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    return _linked(a.join(b, "token").filter(F.col("a") < F.col("b")).filter(_fits(num, den)).select("a", "b").distinct(), members, num, den)
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents that can have a partner; their classes of equal sets (digest, rep, n_same); a member a class."""
     possible = rows.filter("candidate")
     classes = common.stored(possible.groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("n_same")), "classes")
     members = common.stored(possible.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "alone", "prefix", "second", "third", "tokens"), "members")
+    return possible, classes, members
+
+
+def _analysed_groups(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All documents, and of those that can have a partner: rid, doc_id, text_key, n, root (a rid)."""
+    rows = analysed(docs, words, num, den, id_col, text_col)
+    possible, classes, members = _classes(rows)
     roots = class_roots(members, num, den)
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", "n_same", F.coalesce("root", "rep").alias("root"))
     light = possible.select("rid", "doc_id", "text_key", "n", "digest")
     return rows, common.stored(common.skew_safe_join(light, named, "digest", "n_same", light.count(), "inner").drop("digest", "n_same"), "rooted")
 
 
+def similarity_links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links, as pairs of classes of equal sets (a, b), and the documents of the classes that can have links: doc_id, class.
+
+    The documents of a class are linked with each other and with those of the classes it is paired with. Unlike
+    groups, links are as many as they are: a large group of near copies that differ takes all its pairs.
+    """
+    possible, classes, members = _classes(analysed(docs, words, num, den, id_col, text_col))
+    total = possible.count()
+    light = possible.select("doc_id", "digest")
+    return class_links(members, num, den), common.skew_safe_join(light, classes, "digest", "n_same", total, "inner").select("doc_id", F.col("rep").alias("class"))
+
+
 def similarity_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id. Documents are linked if den * intersection >= num * union."""
     rows, rooted = _analysed_groups(docs, words, num, den, id_col, text_col)
@@ -433,10 +451,11 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     decided = judged.groupBy("doc_id", "text_key").agg(F.max(F.col("rid") == F.col("best.rid")).alias(stays)).select(F.col("doc_id").alias(row), F.col("text_key").alias(key), stays)
     decided = common.stored(decided, "decided")
     keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
-    other = decided.withColumnRenamed(key, key + "_of")
+    key_of = common.free_name(docs, "key_of")
+    other = decided.withColumnRenamed(key, key_of)
     if decided.count() <= broadcast_rows:
         other = F.broadcast(other)
-    joined = keyed.join(other, (F.col(key) == F.col(key + "_of")) & F.col(id_col).eqNullSafe(F.col(row)), "left")
+    joined = keyed.join(other, (F.col(key) == F.col(key_of)) & F.col(id_col).eqNullSafe(F.col(row)), "left")
     free = joined.filter(F.col(stays).isNull()).select(*docs.columns)
     chosen = joined.filter(stays).dropDuplicates([id_col, key]).select(*docs.columns)
     return free.unionByName(chosen)

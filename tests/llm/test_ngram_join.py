@@ -130,3 +130,52 @@ def test_components(spark, seed):
         x, y = sorted((find(a), find(b)))
         parent[y] = x
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_unlike_words_do_not_meet(spark):
+    """A Thue-Morse word and its complement have the same polynomial hash modulo 2^64, whatever the base."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([*(f"w{i}" for i in range(9)), x, x])) for i, x in enumerate((word, other))]
+    assert result(ngram_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)) == [(0, 8, 0), (1, 8, 1)]
+
+
+def test_clashing_names(spark):
+    rows = families(9)[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("text_key", "text_key_of", "KEY_OF", "stays", "row", "rid", "_text_key"):
+        df = df.withColumn(name, F.lit("x"))
+    kept = ngram_join.drop_near_copies(df)
+    assert kept.columns == df.columns and 0 < kept.count() < df.count()
+
+
+@pytest.mark.parametrize("heavy", [None, 1])
+def test_links(spark, monkeypatch, heavy):
+    """Every link, copies by their class; also when nearly all tokens count as hot."""
+    if heavy:
+        monkeypatch.setattr(ngram_join.common, "HEAVY_KEYS", 10**6)
+    rows = [(i, t) for i, (_, t) in enumerate(families(4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, members = ngram_join.similarity_links(df, 3, 70, 100)
+    of, own = {r.doc_id: r["class"] for r in members.collect()}, defaultdict(list)
+    for i, c in of.items():
+        own[c].append(i)
+    got = {tuple(sorted((i, j))) for c in own.values() for i in c for j in c if i != j}
+    found = [(r.a, r.b) for r in pairs.collect()]
+    assert len(found) == len(set(found))
+    got |= {tuple(sorted((i, j))) for a, b in found for i in own[a] for j in own[b]}
+    sets = [token_set(t, 3) for _, t in rows]
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sets[i] and 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]) and sets[j]}
+    assert got == want
+    assert result(ngram_join.similarity_groups(df, 3, 70, 100)) == brute(rows, 3, 70, 100)
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 1 << 60), (5, 1 << 56), (1000, 1 << 20), (2000, 1 << 56)):
+        keys = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        assert np.array_equal(ngram_join._unpack(ngram_join._pack(keys)), keys)
