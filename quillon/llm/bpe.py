@@ -178,6 +178,7 @@ def _digest(bpe: Bpe, text: str, ids: bytes) -> tuple:
 
 
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, make, types: list) -> DataFrame:
+    common.ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # a vocabulary file: a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,11 @@ The template writes a turn as ``<turn role="R">\\nTEXT</turn>\\n``. Inside roles
 there, splitting at the closing mark is exact, and unescaping is a plain replacement.
 
 Defined cases: null text or role counts as empty; a reply whose parent is missing is a root; nodes on or
-under a cycle have no root and form no path; rows of equal turn are ordered by role, then text, and all
-are kept, repeated rows too; rows with a null conv_id form one conversation; an empty table gives an
-empty result; other columns are ignored.
+under a cycle have no root and form no path; rows without a tree or a node are left out, and of several rows of one
+node the one of the least parent, score, role and text (nulls first) stays; paths of equal score are taken by
+leaf. Of conversations, rows of equal turn are ordered by role, then text, and all are kept, repeated rows too;
+rows with a null conv_id form one conversation. Texts of any length are formatted whole; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,13 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def single_nodes(messages: DataFrame) -> DataFrame:
+    """One row a (tree, node): the least of its parents, scores, roles and texts, as far as there are such columns."""
+    rest = [c for c in ("parent", "score", "role", "text") if c in messages.columns]
+    known = messages.filter(F.col("tree").isNotNull() & F.col("node").isNotNull())
+    return known.groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("row")).select("tree", "node", *(F.col("row")[c].alias(c) for c in rest))
+
+
 def _jumps(nodes: DataFrame) -> list[DataFrame]:
     """nodes: tree, node, parent. The tables (tree, node, up) for 1, 2, 4, ... replies upwards, only where such an ancestor exists."""
     ids = nodes.select("tree", "node")
@@ -49,12 +58,13 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def reply_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
+def reply_paths(messages: DataFrame, keep: int | None = None, single: bool = False) -> DataFrame:
     """messages: tree, node, parent, score. One row for each node of each chosen path: tree, leaf, back (replies above the leaf), node.
 
     keep: at most so many paths a tree, those of the highest summed score, ties to the smaller leaf; None: all.
+    single: no (tree, node) comes twice or is null, so nothing needs to be sorted out.
     """
-    nodes = messages.select("tree", "node", "parent", "score")
+    nodes = (messages if single else common.stored(single_nodes(messages), "nodes")).select("tree", "node", "parent", "score")
     tables = _jumps(nodes)
     inner = nodes.select("tree", F.col("parent").alias("node")).filter(F.col("node").isNotNull()).distinct()
     paths = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
@@ -121,16 +131,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
-def format_chats(messages: DataFrame, keep: int | None = None) -> DataFrame:
-    """messages: tree, node, parent, score, role, text. See format_paths for the result."""
-    messages = common.stored(messages, "messages")
-    return format_paths(messages, reply_paths(messages, keep))
+def format_chats(messages: DataFrame, keep: int | None = None, single: bool = False) -> DataFrame:
+    """messages: tree, node, parent, score, role, text. See reply_paths for keep and single, format_paths for the result."""
+    messages = common.stored(messages if single else single_nodes(messages), "messages")
+    return format_paths(messages, reply_paths(messages, keep, single=True))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
-    return read_back(format_chats(linear_messages(rows.unionByName(probe)), keep=1))
+    return read_back(format_chats(linear_messages(rows.unionByName(probe)), keep=1, single=True))
 
 
 QUERIES = {"op2_chat_format": op2_chat_format}

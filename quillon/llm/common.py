@@ -9,11 +9,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.storage import shared_dir
+
 #: Documents are long, so fewer of them go to a Python worker at a time than Spark's default of 10,000 rows.
 BATCH_ROWS = "2000"
 #: At most so many keys can each hold more than 1/HEAVY_KEYS of the rows; only such keys are broadcast.
@@ -25,7 +28,11 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; unless they are set, size batches for documents."""
+    """Send this package to the executors, once per application.
+
+    Unless the session sets it, Arrow batches are sized for documents from then on, for all that runs in the session:
+    queries are lazy, so it can't be set back.
+    """
     if spark.conf.get(_BATCH_SETTING) == "10000":
         spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
@@ -48,15 +55,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None:
@@ -79,6 +77,7 @@ atexit.register(_clean_up)
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch.append((spark, path))
@@ -96,6 +95,21 @@ def discard(*frames: DataFrame) -> None:
             _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables stored within it at its end, but for those handed to the function it gives."""
+    before, kept = {path for _, path in _scratch}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._quillon_path)
+        return df
+
+    yield keep
+    for spark, path in [x for x in _scratch if x[1] not in before | kept]:
+        _delete(spark, path)
+        _scratch.remove((spark, path))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,6 +3,9 @@
 Every step replaces edges by edges to the least neighbour, so paths shorten until each component is a star
 around its least node. Steps are joins and partial minima; a node with many edges is a hot join key that
 adaptive execution splits, and no component is collected anywhere.
+
+Defined cases: links with a null end and links of a node with itself don't count; repeated links, in either
+direction, are one; an empty table gives an empty result; columns besides the two ends are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """links: two columns of longs. One row for each node that has a link to another one and isn't the least of its component: node, root."""
-    edges = common.stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct(), "edges")
+    edges = common.stored(links.select(a, b, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
         following = common.stored(_star(_star(edges, True), False), "edges")

@@ -32,9 +32,14 @@ CHUNK_BITS = 1 << 20
 PROBES = 2
 
 
+def normalised(text: Column) -> Column:
+    """The text without white space; null counts as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
+
+
 def digest(text: Column) -> Column:
-    """SHA-256 of the text without white space, as lowercase hex; null counts as empty."""
-    return F.sha2(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", ""), 256)
+    """SHA-256 of the normalised text, as lowercase hex."""
+    return F.sha2(normalised(text), 256)
 
 
 def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -94,6 +99,7 @@ def _merge(size: int):
 
 def repeat_filter(hashes: DataFrame, rows: int) -> tuple[int, np.ndarray]:
     """Pass one over a column of 64-bit hashes: the bits set twice, at most MAX_BITS of them."""
+    common.ship(hashes.sparkSession)
     bits = MIN_BITS
     while bits < MAX_BITS and bits < rows * BITS_PER_ROW:
         bits *= 2
@@ -143,13 +149,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digest is wanted, each task sends at most one row of it (Spark's window group limit).
     """
     h, n, maybe, order = (common.free_name(docs, x) for x in ("h", "n", "maybe", "order"))
-    hashed = docs.withColumn(h, digest(F.col(text_col)))
-    hashes = docs.select(F.xxhash64(digest(F.col(text_col))).alias("h"))
+    short = F.xxhash64(normalised(F.col(text_col)))  # enough to find what may be repeated; only that needs a digest
     total = docs.count()
-    probe = _maybe_repeated(docs.sparkSession, *repeat_filter(hashes, total))
-    marked = hashed.withColumn(maybe, probe(F.xxhash64(h)))
+    probe = _maybe_repeated(docs.sparkSession, *repeat_filter(docs.select(short.alias("h")), total))
+    marked = docs.withColumn(maybe, probe(short))
     first = Window.partitionBy(h).orderBy(F.col(n).desc(), F.col(id_col).asc_nulls_last())
-    kept = marked.filter(maybe).withColumn(n, F.char_length(F.coalesce(F.col(text_col), F.lit("")))).withColumn(order, F.row_number().over(first)).filter(F.col(order) == 1)
+    met = marked.filter(maybe).withColumn(h, digest(F.col(text_col))).withColumn(n, F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = met.withColumn(order, F.row_number().over(first)).filter(F.col(order) == 1)
     return marked.filter(~F.col(maybe)).select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 

@@ -7,7 +7,8 @@ largest proportion of the chosen set names the document.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as are all texts when nothing
 can be learned; equal proportions go to the language that sorts first; equal rows have equal results; texts
-are read whole; an empty table gives an empty result; other columns are ignored or carried along.
+of any length are read whole, SPAN characters at a time; an empty table gives an empty result; other columns,
+whatever their names, are ignored or carried along.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SAMPLE_DOCS = 4000
 #: A task holds the counts of so many languages before it sends them on.
 HELD_LANGS = 64
 BUCKETS = 1 << 16
+#: Documents are chosen by shares of so many.
+PLACES = 1 << 50
 SMOOTHING = 0.1
 ROUNDS, TOLERANCE = 12, 1e-3
 #: Times half the logarithm of the trigrams that another language must add to the log likelihood.
@@ -77,13 +80,14 @@ class Likelihoods:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> tuple[list[str], Likelihoods]:
     """All labelled languages, sorted, and the probability of each trigram bucket in each."""
+    common.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & ~common.held_out(F.col("doc_id")))
     counts = rows.filter(F.col("text").isNotNull()).groupBy("lang").count().collect()
     langs = sorted(x["lang"] for x in counts)
     if not langs:
         return [], Likelihoods(*(np.empty(0, np.int64) for _ in range(3)), 0)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20))
-    shares = docs.sparkSession.createDataFrame([(x["lang"], int(min(1.0, sample / x["count"]) * (1 << 20))) for x in counts], "lang string, share long")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(PLACES))
+    shares = docs.sparkSession.createDataFrame([(x["lang"], max(1, int(min(1.0, sample / x["count"]) * PLACES))) for x in counts], "lang string, share long")
     chosen = rows.filter(F.col("text").isNotNull()).join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "text")
 
     def sent(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:

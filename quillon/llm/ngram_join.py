@@ -48,7 +48,7 @@ BATCH_BYTES, BATCH_DOCS = 4 << 20, 16_384
 BUCKET_TOKENS, MIN_BUCKETS = 1 << 20, 64
 #: A token that so many documents of a batch have is sent once, with its count.
 HOT = 32
-KEY_BITS = 56
+KEY_BITS = 64
 ROUNDS = 2
 #: Up to so many rows, decisions are broadcast to the texts.
 BROADCAST_ROWS = 200_000
@@ -411,12 +411,13 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _analysed_groups(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """All documents, and of those that can have a partner: rid, doc_id, text_key, n, root (a rid)."""
-    rows = analysed(docs, words, num, den, id_col, text_col)
-    possible, classes, members = _classes(rows)
-    roots = class_roots(members, num, den)
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", "n_same", F.coalesce("root", "rep").alias("root"))
-    light = possible.select("rid", "doc_id", "text_key", "n", "digest")
-    return rows, common.stored(common.skew_safe_join(light, named, "digest", "n_same", light.count(), "inner").drop("digest", "n_same"), "rooted")
+    with common.scratch() as keep:
+        rows = keep(analysed(docs, words, num, den, id_col, text_col))
+        possible, classes, members = _classes(rows)
+        roots = class_roots(members, num, den)
+        named = classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", "n_same", F.coalesce("root", "rep").alias("root"))
+        light = possible.select("rid", "doc_id", "text_key", "n", "digest")
+        return rows, keep(common.stored(common.skew_safe_join(light, named, "digest", "n_same", light.count(), "inner").drop("digest", "n_same"), "rooted"))
 
 
 def similarity_links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -70,6 +70,7 @@ class LibraryBpe(Bpe):
 
 def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_words: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens. keep_words: whether workers keep their words for the next task."""
+    common.ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

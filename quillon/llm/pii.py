@@ -9,8 +9,9 @@ patterns that pass the validation. Kinds ``url`` (a URL with user information) a
 identifier after a cue such as "account no") are added; they never remove a base span.
 
 Defined cases: null and empty texts give no spans; a span at the very start or end of a text counts; spans of
-different kinds may overlap; repeated rows give equal results; offsets are code points, ends exclusive;
-columns besides the id and the text are ignored.
+different kinds may overlap and are listed by kind, then start; repeated rows give equal results; texts of any length
+are scanned whole; offsets are code points, ends exclusive; an empty table gives an empty result; columns besides
+the id and the text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -124,6 +125,8 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, the number of spans of each base kind, base_sha256, spans."""
 
+    common.ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
         for batch in batches:

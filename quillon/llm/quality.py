@@ -6,8 +6,9 @@ remaining ones are compiled into one Spark column expression that scores the sta
 
 Defined cases: null and empty texts have statistics of 0 and are scored like any other; without labels of
 both classes every score is the share of label 1 (0.5 without labels); several labels of one document all
-count; labels with a null id or quality are ignored; equal rows have equal scores; an empty table gives
-an empty result; columns besides the id and the text are ignored.
+count, as weights; labels with a null id or quality are ignored; equal rows have equal scores; texts of any length
+are measured whole; equal gains go to the first statistic and the lowest bound; an empty table gives an empty
+result; columns besides the id and the text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quillon.llm import common
 
 #: About so many labelled rows are learned from, chosen by a hash of the id; all, if fewer.
 SAMPLE_ROWS = 20_000
+#: Labelled documents are chosen by shares of so many.
+PLACES = 1 << 50
 TREES, DEPTH, SHRINKAGE, BINS, MIN_LEAF = 24, 3, 0.3, 32, 10
 LASSO, STEPS = 2e-3, 400
 THRESHOLD = 0.7
@@ -66,6 +69,8 @@ def statistics(text: str) -> tuple[float, ...]:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id and its STATISTICS."""
 
+    common.ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([statistics(x.as_py() or "") for x in batch.column(1)], float).reshape(-1, len(STATISTICS))
@@ -78,15 +83,16 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 Rule = tuple[tuple[int, bool, float], ...]  # statistic, whether above, bound
 
 
-def grow_rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
+def grow_rules(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[Rule]:
     """The paths of small boosted trees, from the root to each node."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)  # bin <= k: x <= cuts[k]
-    score = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    share = np.average(y, weights=weight)
+    score = np.full(len(y), np.log((share + 1e-6) / (1 - share + 1e-6)))
     rules: dict[Rule, None] = {}
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         open_nodes: list[tuple[Rule, np.ndarray]] = [((), np.arange(len(y)))]
         for depth in range(DEPTH + 1):
             following = []
@@ -124,33 +130,35 @@ def applies(rule: Rule, x: np.ndarray) -> np.ndarray:
     return held
 
 
-def fit_lasso(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+def fit_lasso(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Intercept and weights of a logistic regression with an L1 penalty, by accelerated proximal gradient."""
     n, m = z.shape
+    weight = np.ones(n) if weight is None else weight * n / weight.sum()
     w = v = np.zeros(m + 1)
     a = np.hstack([z, np.ones((n, 1))])
     u = np.ones(m + 1) / np.sqrt(m + 1)
     for _ in range(20):
-        u = a.T @ (a @ u)
+        u = a.T @ (weight * (a @ u))
         norm = np.linalg.norm(u)
         u /= norm
     step, t = 4 * n / norm, 1.0
     for _ in range(STEPS):
-        new = v - step * (a.T @ (1 / (1 + np.exp(-(a @ v))) - y)) / n
+        new = v - step * (a.T @ (weight * (1 / (1 + np.exp(-(a @ v))) - y))) / n
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * LASSO, 0)
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / s * (new - w), new, s
     return float(w[-1]), w[:-1]
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, float]]]:
-    """Intercept and the weighted rules."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, list[tuple[Rule, float]]]:
+    """Intercept and the weighted rules; weight: how often each row counts."""
+    weight = np.ones(len(y)) if weight is None else weight
     if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
+        share = min(max(float(y[0]) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return float(np.log(share / (1 - share))), []
-    rules = grow_rules(x, y)
+    rules = grow_rules(x, y, weight)
     z = np.stack([applies(r, x) for r in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
-    intercept, weights = fit_lasso(z, y)
+    intercept, weights = fit_lasso(z, y, weight)
     return intercept, [(r, float(w)) for r, w in zip(rules, weights, strict=True) if w]
 
 
@@ -170,10 +178,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     measured = common.stored(measure(docs, id_col, text_col), "statistics")
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~common.held_out(F.col("doc_id")))
     share = min(1.0, sample / max(known.count(), 1))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = measured.join(chosen, "doc_id").select(*STATISTICS, "label").toPandas().sort_values([*STATISTICS, "label"])
-    x, y = rows[list(STATISTICS)].to_numpy(float), (rows["label"].to_numpy() == 1).astype(float)
-    score = compile_rules(*fit(x, y))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(PLACES)) < max(1, int(share * PLACES)))
+    weighed = chosen.groupBy("doc_id", (F.col("label") == 1).alias("label")).agg(F.count("*").alias("weight"))  # a document with many labels is two rows at most
+    rows = measured.join(weighed, "doc_id").select(*STATISTICS, "label", "weight").toPandas().sort_values([*STATISTICS, "label", "weight"])
+    x, y = rows[list(STATISTICS)].to_numpy(float), rows["label"].to_numpy(float)
+    score = compile_rules(*fit(x, y, rows["weight"].to_numpy(float)))
     scored = measured.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 

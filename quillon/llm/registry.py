@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import importlib
+import corpus_pipeline
+from quillon.llm import ann, bpe, chat, exact_dedup, langid, ngram_join, packing, pii, quality, secrets
 
-MODULES = ("ann", "chat", "secrets", "quality", "pii", "exact_dedup", "bpe", "langid", "ngram_join", "packing")
-
-
-def _modules():
-    return [importlib.import_module(f"quillon.llm.{name}") for name in MODULES]
+MODULES = (ann, chat, secrets, quality, ngram_join, pii, exact_dedup, bpe, langid, packing)
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    found = {}
-    for module in _modules():
-        found |= module.QUERIES
-    return found | {"pipeline": corpus_pipeline.run}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    import corpus_pipeline
-
-    found = {}
-    for module in _modules():
-        found |= getattr(module, "ORACLE_SQL", {})
-    if corpus_pipeline.ORACLE_SQL:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found
+    found = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

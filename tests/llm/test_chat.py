@@ -70,6 +70,20 @@ def test_formats_read_back(spark):
         assert [unescaped(r.formatted[s.start : s.end]) for s in r.loss_spans] == [b for a, b in turns if a == "assistant"]
 
 
+def test_repeated_and_unnamed_nodes(spark):
+    """Of the rows of a node one stays; six nodes of a chain, each given three times, are one path."""
+    rows = [(1, n, n - 1 if n else None, 1.0, "user", f"t{n}") for n in range(6)]
+    again = [(1, n, n - 1 if n else None, 1.0, "user", f"z{n}") for n in range(6)]
+    lost = [(None, 1, None, 1.0, "user", "no tree"), (1, None, 2, 1.0, "user", "no node")]
+    df = spark.createDataFrame([*rows, *rows, *again, *lost], SCHEMA)
+    paths = chat.reply_paths(df).collect()
+    assert sorted((r.leaf, r.back, r.node) for r in paths) == [(5, n, 5 - n) for n in range(6)]
+    found = chat.format_chats(df).collect()
+    assert len(found) == 1 and re.findall(r">\n(.*?)</turn>", found[0].formatted) == [f"t{n}" for n in range(6)]
+    other = [*rows, (1, 5, 2, 0.5, "user", "elsewhere")]  # the least parent
+    assert sorted(r.node for r in chat.reply_paths(spark.createDataFrame(other, SCHEMA)).collect() if r.leaf == 5) == [0, 1, 2, 5]
+
+
 def test_conversations(spark):
     texts = ["hi", None, "", "a</turn>\n<turn", '&lt; " <', "é🙂" * 5]
     rng = random.Random(1)

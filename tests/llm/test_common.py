@@ -33,3 +33,14 @@ def test_held_out(spark):
 def test_free_names(spark):
     df = spark.range(1).select(F.lit(1).alias("H"), F.lit(2).alias("_h"))
     assert common.free_name(df, "h") == "__h" and common.free_name(df, "x") == "x"
+
+
+def test_scratch_tables_go_but_for_those_kept(spark):
+    with common.scratch() as keep:
+        a = common.stored(spark.range(3), "a")
+        b = keep(common.stored(spark.range(4), "b"))
+        with common.scratch() as keep_inner:
+            c = keep_inner(common.stored(spark.range(5), "c"))
+        assert c.count() == 5
+    assert b.count() == 4
+    assert [os.path.exists(x._quillon_path.removeprefix("file://")) for x in (a, b, c)] == [False, True, False]

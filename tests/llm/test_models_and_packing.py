@@ -71,6 +71,61 @@ def test_rules_are_paths_and_the_column_scores_them(spark):
     assert np.allclose(got, want[:50])
 
 
+def test_statistics_against_plain_counts():
+    for text in ("", "Hello, hello WORLD!\n\nhello | 12 ü?\nhello | 12 ü?", "a", " \n ", "é" * 50, "x y " * 400):
+        raw, words, lines = text.encode(), text.split(), [x for x in text.split("\n") if x.strip()]
+        share = lambda chars: sum(raw.count(c.encode()) for c in chars) / max(len(raw), 1)  # noqa: E731, B023
+        pairs = list(zip(words, words[1:], strict=False))
+        most = lambda xs: max((xs.count(x) for x in xs), default=0) / max(len(words), 1)  # noqa: E731, B023
+        want = {
+            "n_chars": len(text), "n_words": len(words), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "bars": share("|"), "exclaims": share("!"),
+            "non_ascii": sum(b > 127 for b in raw) / max(len(raw), 1), "blanks": share(" \t\n\r\x0b\x0c"), "distinct_words": len(set(words)) / max(len(words), 1), "top_word": most(words), "top_pair": most(pairs),
+            "lines": len(lines), "repeated_lines": 1 - len(set(lines)) / max(len(lines), 1) if text else 0, "longest_word": max(map(len, words), default=0),
+        }
+        got = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+        assert {k: pytest.approx(v) for k, v in want.items()} == {k: got[k] for k in want}
+
+
+def test_lasso_is_optimal():
+    """The subgradient conditions of the penalised likelihood; a weight of 2 is a row given twice."""
+    rng = np.random.default_rng(4)
+    z = (rng.random((300, 12)) < 0.4).astype(float)
+    y = (z[:, 2] + z[:, 5] * (rng.random(300) < 0.8) + (rng.random(300) < 0.1) > 0.5).astype(float)
+    intercept, w = quality.fit_lasso(z, y)
+    slope = z.T @ (1 / (1 + np.exp(-(z @ w + intercept))) - y) / len(y)
+    assert np.allclose(slope[w != 0], -quality.LASSO * np.sign(w[w != 0]), atol=1e-4) and (np.abs(slope[w == 0]) <= quality.LASSO + 1e-4).all()
+    assert 0 < (w != 0).sum() < 12
+    weight = rng.integers(1, 3, 300)
+    often = np.repeat(np.arange(300), weight)
+    a, b = quality.fit_lasso(z, y, weight.astype(float)), quality.fit_lasso(z[often], y[often])
+    assert a[0] == pytest.approx(b[0], abs=1e-3) and np.allclose(a[1], b[1], atol=1e-3)
+
+
+def test_the_first_split_is_the_best_one():
+    """Of all bounds of all statistics, by the gain of the logistic likelihood's second-order expansion."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((200, 4)), 2)
+    y = (x[:, 1] > 0.6).astype(float)
+    y[:20] = 1 - y[:20]
+    rules = quality.grow_rules(x, y, np.ones(len(y)))
+    g, h = y - y.mean(), np.full(len(y), y.mean() * (1 - y.mean()))
+    gain = {}
+    for j in range(4):
+        for bound in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+            left = x[:, j] <= bound
+            if min(left.sum(), (~left).sum()) >= quality.MIN_LEAF:
+                gain[j, bound] = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left))
+    j, bound = max(gain, key=gain.get)
+    assert ((j, False, bound),) in rules and ((j, True, bound),) in rules
+
+
+def test_a_document_with_many_labels(spark):
+    docs = spark.createDataFrame([(i, "good words here. " * (1 + i % 3) if i % 2 else "BAD!!! 1234 |||| " * (1 + i % 3)) for i in range(80)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(80)] + [(1, 1)] * 500 + [(3, 0)]
+    got = quality.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
 def first_fit(sizes, capacity):
     bins, out = [], []
     for s in sizes:
