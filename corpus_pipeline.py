@@ -1,6 +1,11 @@
 """A corpus pipeline of five operators: raw documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stages before it kept.
+
+Defined cases: documents whose text is null or has no letter go with the language stage; of equal texts the longest,
+then the one of the smallest doc_id stays, of near copies the one of the smallest doc_id, of repeated rows one; texts
+of any length are worked on whole; columns besides those of documents, whatever their names, are carried as far as
+packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,11 +60,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.stored(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with common.scratch() as keep:
+            following = keep(common.stored(stage(spark, docs, sf_dir), "stage"))
+        common.discard(docs)
+        docs = following
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The stages learn models and tokenize, which SQL can't express; tests/llm holds them against brute force.
