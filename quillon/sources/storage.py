@@ -8,9 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one in local mode (tests), an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
