@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.plans.spec import COMPARISONS
 from quillon.session import Engine
@@ -76,8 +78,7 @@ register("join_theta_permuted", "SELECT supplier.s_suppkey, nation.n_nationkey F
 register("join_multi_cond", "SELECT customer.c_custkey, supplier.s_suppkey FROM customer,supplier WHERE customer.c_nationkey=supplier.s_nationkey,customer.c_custkey<=supplier.s_suppkey", f"SELECT {named('customer', 'c_custkey')}, {named('supplier', 's_suppkey')} FROM customer, supplier WHERE c_nationkey = s_nationkey AND c_custkey <= s_suppkey")
 register("join_cycle", f"SELECT customer.c_custkey, supplier.s_suppkey, nation.n_name FROM customer,supplier,nation WHERE {CN},supplier.s_nationkey=nation.n_nationkey,customer.c_nationkey=supplier.s_nationkey,customer.c_acctbal<supplier.s_acctbal", f"SELECT {named('customer', 'c_custkey')}, {named('supplier', 's_suppkey')}, {named('nation', 'n_name')} FROM customer, supplier, nation WHERE c_nationkey = n_nationkey AND s_nationkey = n_nationkey AND c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
 register("cross_join", "SELECT * FROM region,nation", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)} FROM region, nation")
-register("cross_components", 'SELECT region.r_name, nation.n_name, supplier.s_suppkey FROM region,nation,supplier WHERE nation.n_nationkey=supplier.s_nationkey,region.r_regionkey<"2"', f"SELECT {named('region', 'r_name')}, {named('nation', 'n_name')}, {named('supplier', 's_suppkey')} FROM region, nation, supplier WHERE n_nationkey = s_nationkey AND r_regionkey < 2")
-register("cross_components_whole", "SELECT region.r_name, nation.n_name, supplier.s_suppkey FROM region,nation,supplier WHERE nation.n_nationkey=supplier.s_nationkey", f"SELECT {named('region', 'r_name')}, {named('nation', 'n_name')}, {named('supplier', 's_suppkey')} FROM region, nation, supplier WHERE n_nationkey = s_nationkey")
+register("cross_components", "SELECT region.r_name, nation.n_name, supplier.s_suppkey FROM region,nation,supplier WHERE nation.n_nationkey=supplier.s_nationkey", f"SELECT {named('region', 'r_name')}, {named('nation', 'n_name')}, {named('supplier', 's_suppkey')} FROM region, nation, supplier WHERE n_nationkey = s_nationkey")
 for strategy in ("nested", "block", "merge", "hash", "broadcast"):
     register(f"join_{strategy}", EQUI, EQUI_SQL, strategy)
 register("join_nested_theta", "SELECT supplier.s_suppkey, nation.n_nationkey FROM supplier,nation WHERE supplier.s_nationkey>=nation.n_nationkey", f"SELECT {named('supplier', 's_suppkey')}, {named('nation', 'n_nationkey')} FROM supplier, nation WHERE s_nationkey >= n_nationkey", "nested")
@@ -86,8 +87,7 @@ register("join_nested_theta", "SELECT supplier.s_suppkey, nation.n_nationkey FRO
 ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 register("experiment_two_tables", f"SELECT * FROM customer,orders WHERE {CO}", f"SELECT {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)} FROM customer, orders WHERE c_custkey = o_custkey")
 register("experiment_three_tables", f"SELECT * FROM region,nation,customer WHERE region.r_regionkey=nation.n_regionkey,{CN}", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)} FROM region, nation, customer WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey")
-register("experiment_five_tables", f"SELECT * FROM region,nation,customer,orders,supplier WHERE region.r_regionkey=nation.n_regionkey,{CN},{CO},supplier.s_nationkey=nation.n_nationkey,supplier.s_suppkey<=\"5\"", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)}, {named('supplier', *SUPPLIER)} FROM region, nation, customer, orders, supplier WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey AND c_custkey = o_custkey AND s_nationkey = n_nationkey AND s_suppkey <= 5")
-register("experiment_five_tables_whole", f"SELECT * FROM region,nation,customer,orders,supplier WHERE region.r_regionkey=nation.n_regionkey,{CN},{CO},supplier.s_nationkey=nation.n_nationkey", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)}, {named('supplier', *SUPPLIER)} FROM region, nation, customer, orders, supplier WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey AND c_custkey = o_custkey AND s_nationkey = n_nationkey")
+register("experiment_five_tables", f"SELECT * FROM region,nation,customer,orders,supplier WHERE region.r_regionkey=nation.n_regionkey,{CN},{CO},supplier.s_nationkey=nation.n_nationkey", f"SELECT {named('region', *REGION)}, {named('nation', *NATION)}, {named('customer', *CUSTOMER)}, {named('orders', *ORDERS)}, {named('supplier', *SUPPLIER)} FROM region, nation, customer, orders, supplier WHERE r_regionkey = n_regionkey AND c_nationkey = n_nationkey AND c_custkey = o_custkey AND s_nationkey = n_nationkey")
 
 # aggregates and groups
 register("agg_global", "SELECT MAX(customer.c_nationkey), MIN(customer.c_nationkey), SUM(customer.c_nationkey), COUNT(customer.c_custkey), AVG(customer.c_nationkey) FROM customer", "SELECT max(c_nationkey) AS max_customer_c_nationkey, min(c_nationkey) AS min_customer_c_nationkey, CAST(sum(c_nationkey) AS BIGINT) AS sum_customer_c_nationkey, count(c_custkey) AS count_customer_c_custkey, avg(c_nationkey) AS avg_customer_c_nationkey FROM customer")
@@ -110,8 +110,7 @@ register("distinct_join", f"SELECT DISTINCT nation.n_name, orders.o_orderpriorit
 register("order_asc", "SELECT customer.c_custkey, customer.c_acctbal FROM customer ORDERBY customer.c_acctbal ASC", f"SELECT {named('customer', 'c_custkey', 'c_acctbal')} FROM customer ORDER BY c_acctbal")
 register("order_desc_two", "SELECT customer.c_nationkey, customer.c_custkey FROM customer ORDERBY customer.c_nationkey, customer.c_custkey DESC", f"SELECT {named('customer', 'c_nationkey', 'c_custkey')} FROM customer ORDER BY c_nationkey DESC, c_custkey DESC")
 register("order_unselected", "SELECT customer.c_name FROM customer ORDERBY customer.c_acctbal", f"SELECT {named('customer', 'c_name')} FROM customer ORDER BY c_acctbal")
-register("order_star", f'SELECT * FROM supplier,nation WHERE supplier.s_nationkey=nation.n_nationkey,supplier.s_suppkey<"60" ORDERBY supplier.s_acctbal', f"SELECT {named('supplier', *SUPPLIER)}, {named('nation', *NATION)} FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_suppkey < 60 ORDER BY s_acctbal")
-register("order_star_whole", "SELECT * FROM supplier,nation WHERE supplier.s_nationkey=nation.n_nationkey ORDERBY supplier.s_acctbal", f"SELECT {named('supplier', *SUPPLIER)}, {named('nation', *NATION)} FROM supplier, nation WHERE s_nationkey = n_nationkey ORDER BY s_acctbal")
+register("order_star", "SELECT * FROM supplier,nation WHERE supplier.s_nationkey=nation.n_nationkey ORDERBY supplier.s_acctbal", f"SELECT {named('supplier', *SUPPLIER)}, {named('nation', *NATION)} FROM supplier, nation WHERE s_nationkey = n_nationkey ORDER BY s_acctbal")
 FLAGSHIP = f"SELECT nation.n_name, COUNT(lineitem.l_orderkey), SUM(lineitem.l_quantity), MAX(lineitem.l_extendedprice) {FOUR} GROUPBY nation.n_name ORDERBY nation.n_name"
 register("flagship", FLAGSHIP, f"SELECT n_name AS nation_n_name, count(l_orderkey) AS count_lineitem_l_orderkey, sum(l_quantity) AS sum_lineitem_l_quantity, max(l_extendedprice) AS max_lineitem_l_extendedprice {FOUR_SQL} GROUP BY n_name ORDER BY n_name")
 
@@ -172,7 +171,11 @@ def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexes.search(indexes.search(_sorted_orders(spark, sf_dir), "o_custkey", 37), "o_orderkey", 1200)
+    """The first order of the last customer that has orders, by both keys."""
+    index = _sorted_orders(spark, sf_dir)
+    last = indexes.last_key(index, "o_custkey")
+    own = indexes.search(index, "o_custkey", last)
+    return indexes.search(own, "o_orderkey", indexes.first_key(own, "o_orderkey"))
 
 
 def index_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,30 +195,83 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.search_range(indexes.delete(index, "o_custkey", 37, _new_path(spark, "index"), ["o_custkey"]), "o_custkey", 30, 40)
 
 
-def _indexed(spark: SparkSession, sf_dir: str, *keys: tuple[str, str]) -> Engine:
-    session = engine(spark, sf_dir)
-    for table, key in keys or (("orders", "o_custkey"), ("customer", "c_custkey")):
-        session.catalog.add_index(table, key, indexes.build_sorted(session.catalog.table(table), [key], _new_path(spark, "index")))
-    return session
+#: Bucketed copies by application, folder, table and key: each is built once.
+_bucketed: dict[tuple[str, str, str, str], str] = {}
+
+
+def _bucketed_copy(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    at = (spark.sparkContext.applicationId, sf_dir, table, key)
+    if at not in _bucketed:
+        name = f"quillon_{table}_{key}_{uuid.uuid4().hex}"
+        indexes.build_bucketed(engine(spark, sf_dir).catalog.table(table), [key], name, int(spark.conf.get("spark.sql.shuffle.partitions")), _new_path(spark, "buckets"))
+        _bucketed[at] = name
+    return spark.table(_bucketed[at])
 
 
 def join_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indexed(spark, sf_dir).sql(EQUI, "index")
+    """Two copies with equal buckets by the key meet without a shuffle."""
+    session = engine(spark, sf_dir)
+    for table, key in (("orders", "o_custkey"), ("customer", "c_custkey")):
+        session.catalog.add_index(table, key, _bucketed_copy(spark, sf_dir, table, key))
+    return session.sql(EQUI, "index")
 
 
 def join_index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indexed(spark, sf_dir).sql('SELECT customer.c_custkey, orders.o_orderkey FROM customer,orders WHERE customer.c_custkey>=orders.o_custkey,customer.c_custkey<"10"', "index")
+    session = engine(spark, sf_dir)
+    for table, key in (("supplier", "s_nationkey"), ("nation", "n_nationkey")):
+        session.catalog.add_index(table, key, indexes.build_sorted(session.catalog.table(table), [key], _new_path(spark, "index")))
+    return session.sql("SELECT supplier.s_suppkey, nation.n_nationkey FROM supplier,nation WHERE supplier.s_nationkey>=nation.n_nationkey", "index")
+
+
+def join_index_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index join of tables without an index."""
+    return engine(spark, sf_dir).sql(EQUI, "index")
+
+
+def declared_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of which some columns are declared, read by that schema."""
+    catalog = Catalog(spark)
+    catalog.add("customer", f"{sf_dir}/customer.parquet", T.StructType.fromDDL("c_custkey bigint, c_name string"))
+    return Engine(spark, catalog).sql("SELECT * FROM customer")
+
+
+def text_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows parted by blanks, tabs and runs of both."""
+    table = engine(spark, sf_dir).catalog.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    source, target = _new_path(spark, "text"), _new_path(spark, "table")
+    table.select(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit("  \t"), F.col("o_custkey").cast("string"), F.lit(" "), F.col("o_totalprice").cast("string"), F.lit("\t"))).write.text(source)
+    return text.ingest(spark, source, table.schema, target, blanks=True)
+
+
+def stored_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _new_path(spark, "statistics")
+    statistics.write_statistics(engine(spark, sf_dir).catalog.table("supplier").select("s_suppkey", "s_nationkey"), path, exact=True)
+    found = statistics.read_statistics(spark, path)
+    return spark.createDataFrame([(c, found.rows, n) for c, n in found.distinct.items()], "column string, n_rows long, n_distinct long")
+
+
+def join_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest table is listed first and joined last."""
+    session = engine(spark, sf_dir)
+    for table in ("lineitem", "orders", "customer", "nation"):
+        path = _new_path(spark, "statistics")
+        statistics.write_statistics(session.catalog.table(table), path)
+        session.catalog.add_statistics(table, statistics.read_statistics(spark, path))
+    return session.sql(f"SELECT nation.n_name, COUNT(lineitem.l_orderkey) FROM lineitem,orders,customer,nation WHERE {CO},{OL},{CN} GROUPBY nation.n_name")
 
 
-def join_index_range_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indexed(spark, sf_dir, ("supplier", "s_nationkey"), ("nation", "n_nationkey")).sql("SELECT supplier.s_suppkey, nation.n_nationkey FROM supplier,nation WHERE supplier.s_nationkey>=nation.n_nationkey", "index")
+def plan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the printed plan shows the join and the filter in the scan, and whether it has a cost."""
+    session, query = engine(spark, sf_dir), f'{EQUI},orders.o_totalprice>"1000"'
+    printed = session.explain(query)
+    return spark.createDataFrame([("Join" in printed, "GreaterThan(o_totalprice,1000.0)" in printed, session.cost(query).size_in_bytes > 0)], "joins boolean, filters boolean, costs boolean")
 
 
 def sort_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.sort_table(engine(spark, sf_dir).catalog.table("supplier"), ["s_acctbal", "s_suppkey"], _new_path(spark, "sorted"))
 
 
-QUERIES |= {f.__name__: f for f in (det_schema, generated, text_round_trip, table_stats, result_lines, dump_lines, index_search, index_range, index_composite, index_bounds, index_insert, index_delete, join_index, join_index_range, join_index_range_whole, sort_tool)}
+QUERIES |= {f.__name__: f for f in (det_schema, generated, text_round_trip, table_stats, result_lines, dump_lines, index_search, index_range, index_composite, index_bounds, index_insert, index_delete, join_index, join_index_range, join_index_absent, declared_schema, text_blanks, stored_statistics, join_by_statistics, plan_text, sort_tool)}
 ORACLE_SQL |= {
     "det_schema": "SELECT * FROM (VALUES ('id', 'INTEGER', 500::BIGINT, 'PK', 4::BIGINT), ('grp', 'INTEGER', 7, 'NK', 4), ('ref', 'INTEGER', 500, 'FK', 4), ('amount', 'REAL', 90, 'NK', 4), ('name', 'STRING', 34, 'NK', 68)) t(name, type, range, key, bytes)",
     "generated": "SELECT 500::BIGINT AS n, 500::BIGINT AS ids, 0::INTEGER AS first_id, 499::INTEGER AS last_id, 500::BIGINT AS grps, 500::BIGINT AS amounts, 500::BIGINT AS names",
@@ -225,12 +281,17 @@ ORACLE_SQL |= {
     "dump_lines": "SELECT r_regionkey || ',' || r_name AS line FROM region",
     "index_search": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 37",
     "index_range": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey >= 20 AND o_custkey < 40",
-    "index_composite": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 37 AND o_orderkey = 1200",
+    "index_composite": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders) ORDER BY o_orderkey LIMIT 1",
     "index_bounds": "SELECT min(o_custkey) AS first_key, max(o_custkey) AS last_key FROM orders",
     "index_insert": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 90 AND 110",
     "index_delete": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 30 AND 40 AND o_custkey <> 37",
     "join_index": EQUI_SQL,
-    "join_index_range": f"SELECT {named('customer', 'c_custkey')}, {named('orders', 'o_orderkey')} FROM customer, orders WHERE c_custkey >= o_custkey AND c_custkey < 10",
-    "join_index_range_whole": f"SELECT {named('supplier', 's_suppkey')}, {named('nation', 'n_nationkey')} FROM supplier, nation WHERE s_nationkey >= n_nationkey",
+    "join_index_range": f"SELECT {named('supplier', 's_suppkey')}, {named('nation', 'n_nationkey')} FROM supplier, nation WHERE s_nationkey >= n_nationkey",
+    "join_index_absent": EQUI_SQL,
+    "declared_schema": f"SELECT {named('customer', 'c_custkey', 'c_name')} FROM customer",
+    "text_blanks": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
+    "stored_statistics": "SELECT 's_suppkey' AS \"column\", count(*) AS n_rows, count(DISTINCT s_suppkey) AS n_distinct FROM supplier UNION ALL SELECT 's_nationkey', count(*), count(DISTINCT s_nationkey) FROM supplier",
+    "join_by_statistics": "SELECT n_name AS nation_n_name, count(l_orderkey) AS count_lineitem_l_orderkey FROM lineitem, orders, customer, nation WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND c_nationkey = n_nationkey GROUP BY n_name",
+    "plan_text": "SELECT true AS joins, true AS filters, true AS costs",
     "sort_tool": "SELECT * FROM supplier",
 }

@@ -2,7 +2,7 @@
 
     python -m quillon.cli query  TABLES_DIR QUERY_FILE RESULT_FILE [--join STRATEGY] [--explain]
     python -m quillon.cli generate DEFINITION TARGET ROWS [--seed N]
-    python -m quillon.cli ingest DEFINITION TEXT TARGET
+    python -m quillon.cli ingest DEFINITION TEXT TARGET [--blanks]
     python -m quillon.cli index  TABLE TARGET KEY [KEY ...]
     python -m quillon.cli sort   TABLE TARGET KEY [KEY ...] [--desc]
     python -m quillon.cli dump   TABLE [--rows N]
@@ -38,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
     g = command("generate", "definition", "target")
     g.add_argument("rows", type=int)
     g.add_argument("--seed", type=int, default=0)
-    command("ingest", "definition", "text", "target")
+    command("ingest", "definition", "text", "target").add_argument("--blanks", action="store_true", help="values are parted by any white space")
     command("index", "table", "target").add_argument("keys", nargs="+")
     s = command("sort", "table", "target")
     s.add_argument("keys", nargs="+")
@@ -63,7 +63,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         df.write.parquet(a.target)
         statistics.table_statistics(spark.read.parquet(a.target)).show(truncate=False)
     elif a.command == "ingest":
-        text.ingest(spark, a.text, definitions.parse_definition(read_text(spark, a.definition)), a.target)
+        text.ingest(spark, a.text, definitions.parse_definition(read_text(spark, a.definition)), a.target, a.blanks)
     elif a.command == "index":
         indexes.build_sorted(spark.read.parquet(a.table), a.keys, a.target)
     elif a.command == "sort":

@@ -1,7 +1,8 @@
 """MAX, MIN, SUM, COUNT and AVG.
 
 COUNT and integer sums are 64-bit (a sum beyond that raises under ANSI mode), AVG is a double, and the SUM of
-strings concatenates them in sorted order, so that it doesn't depend on how rows arrive.
+strings concatenates them in sorted order, so that it doesn't depend on how rows arrive. The result is one value, so
+one task holds a group's strings: together they must be within Spark's 2 GB a value.
 """
 
 from __future__ import annotations

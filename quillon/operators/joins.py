@@ -1,8 +1,8 @@
 """Inner joins of any number of tables on any of the six comparisons, with a selectable physical strategy.
 
-Catalyst chooses the algorithm unless a strategy is asked for; a strategy is a hint and never changes the
-result. Broadcasting is asked for only when the estimated size of the table is within BROADCAST_BYTES;
-beyond that the strategy leaves the choice to Catalyst.
+Tables are joined in the order of least estimated intermediate rows. Catalyst chooses the algorithm unless a
+strategy is asked for; a strategy is a hint and never changes the result. Broadcasts and nested loops are asked for
+only when the estimated size of the table is within HINTED_BYTES; beyond that the choice is Catalyst's.
 """
 
 from __future__ import annotations
@@ -14,30 +14,56 @@ from operator import and_
 from pyspark.sql import DataFrame
 
 from quillon.operators.relational import predicate
+from quillon.plans.estimates import Estimate, estimated_bytes, joined_rows
 from quillon.plans.spec import Attr, Cond, QueryError
 
-BROADCAST_BYTES = 64 << 20
+HINTED_BYTES = 64 << 20
 #: Strategy to hint; nested loops have one implementation in Spark, an index join is an ordinary join on the sorted copy.
 HINTS = {"auto": None, "nested": "shuffle_replicate_nl", "block": "shuffle_replicate_nl", "merge": "merge", "hash": "shuffle_hash", "broadcast": "broadcast", "index": None}
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def hinted(df: DataFrame, strategy: str) -> DataFrame:
     if strategy not in HINTS:
         raise QueryError(f"no join strategy {strategy}; there are {', '.join(HINTS)}")
     hint = HINTS[strategy]
-    if hint is None or hint == "broadcast" and estimated_bytes(df) > BROADCAST_BYTES:
+    if hint is None or hint in ("broadcast", "shuffle_replicate_nl") and estimated_bytes(df) > HINTED_BYTES:
         return df
     return df.hint(hint)
 
 
-def join_order(tables: Sequence[str], conditions: Sequence[Cond]) -> list[list[str]]:
-    """The tables by connected component, each in the order in which they are joined: of the tables connected
-    to those before, first one with an equality, then the first listed."""
+def join_order(tables: Sequence[str], conditions: Sequence[Cond], estimates: Mapping[str, Estimate] | None = None) -> list[list[str]]:
+    """The tables by connected component, each in the order in which they are joined.
+
+    Of the tables connected to those before, first those with an equality, of these the one whose join is estimated to
+    have the fewest rows, then the first listed. A component begins with the pair of the fewest rows. Without estimates
+    the order of the list decides.
+    """
+    components = _in_listed_order(tables, conditions)
+    return components if estimates is None else [_by_estimates(c, conditions, estimates) for c in components]
+
+
+def _by_estimates(component: list[str], conditions: Sequence[Cond], estimates: Mapping[str, Estimate]) -> list[str]:
+    """Greedy from every first table; the order whose intermediate results have the fewest rows altogether."""
+    best, least = component, float("inf")
+    for first in component:
+        order, rows, total = [first], estimates[first].rows, 0.0
+        while len(order) < len(component):
+            linked = [c for c in conditions if len(c.tables & set(order)) == 1]
+            connected = [t for t in component if t not in order and any(t in c.tables for c in linked)]
+            by_equality = [t for t in connected if any(t in c.tables and c.op == "=" for c in linked)]
+            size = {t: joined_rows(rows, order, t, conditions, estimates) for t in by_equality or connected}
+            following = min(size, key=size.get)
+            rows = size[following]
+            total += rows
+            order.append(following)
+        # the first join reads both its tables anyway: prefer to begin with the smaller one
+        total += estimates[first].rows
+        if total < least:
+            best, least = order, total
+    return best
+
+
+def _in_listed_order(tables: Sequence[str], conditions: Sequence[Cond]) -> list[list[str]]:
     waiting, components = list(tables), []
     while waiting:
         joined = [waiting.pop(0)]
@@ -54,10 +80,10 @@ def join_order(tables: Sequence[str], conditions: Sequence[Cond]) -> list[list[s
     return components
 
 
-def join_tables(frames: Mapping[str, DataFrame], tables: Sequence[str], conditions: Sequence[Cond], strategy: str = "auto") -> DataFrame:
+def join_tables(frames: Mapping[str, DataFrame], tables: Sequence[str], conditions: Sequence[Cond], strategy: str = "auto", estimates: Mapping[str, Estimate] | None = None) -> DataFrame:
     """All frames joined on all conditions between two tables; components without a common condition are crossed."""
     parts = []
-    for component in join_order(tables, conditions):
+    for component in join_order(tables, conditions, estimates):
         joined, within = frames[component[0]], {component[0]}
         for t in component[1:]:
             on = [c for c in conditions if isinstance(c.right, Attr) and t in c.tables and len(c.tables) == 2 and c.tables <= within | {t}]

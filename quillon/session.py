@@ -31,13 +31,13 @@ class Engine:
 
     def analyze(self, query: str) -> QuerySpec:
         spec = parse(query)
-        return analyze(spec, {t: s for t, s in self.catalog.schemas().items() if t in spec.tables})
+        return analyze(spec, self.catalog.schemas(spec.tables))
 
     def sql(self, query: str, join_strategy: str = "auto") -> DataFrame:
         """The query as a lazy DataFrame; join_strategy: auto, nested, block, index, merge, hash or broadcast."""
         spec = self.analyze(query)
         tables = {t: self._copy(spec, t) if join_strategy == "index" else self.catalog.table(t) for t in spec.tables}
-        return plan(spec, tables, join_strategy)
+        return plan(spec, tables, join_strategy, {t: s for t in spec.tables if (s := self.catalog.statistics(t)) is not None})
 
     def _copy(self, spec: QuerySpec, table: str) -> DataFrame:
         """The copy of a table that is sorted by a column it is joined or filtered on, if there is one."""

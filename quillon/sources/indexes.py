@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.comparisons import compare_literal
+from quillon.plans.estimates import estimated_bytes
 from quillon.plans.spec import QueryError
 
+#: Bytes of a file of a copy, about, where its number of files isn't given.
+FILE_BYTES = 128 << 20
 
 
 def build_sorted(df: DataFrame, keys: Sequence[str], path: str, files: int | None = None) -> DataFrame:
@@ -23,8 +26,10 @@ def build_sorted(df: DataFrame, keys: Sequence[str], path: str, files: int | Non
     return df.sparkSession.read.parquet(path)
 
 
-def build_bucketed(df: DataFrame, keys: Sequence[str], name: str, buckets: int) -> DataFrame:
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").format("parquet").saveAsTable(name)
+def build_bucketed(df: DataFrame, keys: Sequence[str], name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A registered table; path: where its files go, instead of the warehouse. One task a bucket writes, so there are as many files."""
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -52,10 +57,11 @@ def last_key(index: DataFrame, key: str):
 
 
 def insert(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]) -> None:
-    """Rows added to a sorted copy as files of their own, sorted too; pruning works by file."""
+    """Rows added to a sorted copy as files of their own, sorted too, each of a range of keys; pruning works by file."""
     if rows.columns != spark.read.parquet(path).columns:
         raise QueryError("the rows don't have the columns of the index")
-    rows.repartitionByRange(1, *keys).sortWithinPartitions(*keys).write.mode("append").parquet(path)
+    files = min(1 + estimated_bytes(rows) // FILE_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))  # an unknown size counts as large
+    rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("append").parquet(path)
 
 
 def delete(index: DataFrame, key: str, value, path: str, keys: Sequence[str]) -> DataFrame:

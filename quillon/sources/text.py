@@ -1,4 +1,4 @@
-"""Text in and out: tab-separated ingest, the result file, and row dumps."""
+"""Text in and out: ingest of tab- or blank-separated rows, the result file, and row dumps."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 NULL = "-NULL-"
 
 
-def read_table_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tab-separated rows without a header or quoting; a row of another width or a value that isn't of its type is an error."""
-    parts = F.split("value", "\t", -1)
+def read_table_text(spark: SparkSession, path: str, schema: T.StructType, blanks: bool = False) -> DataFrame:
+    """Tab-separated rows without a header or quoting; a row of another width or a value that isn't of its type is an error.
+
+    blanks: values are parted by any white space, so none holds any and none is empty.
+    """
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+", -1) if blanks else F.split("value", "\t", -1)
     whole = F.when(F.size(parts) == len(schema.fields), parts).otherwise(F.raise_error(F.concat(F.lit(f"not {len(schema.fields)} columns: "), F.col("value"))))
 
     def typed(i: int, f: T.StructField) -> Column:
@@ -29,9 +32,9 @@ def write_table_text(df: DataFrame, path: str) -> None:
     df.select(F.array_join(F.array(*safe), "\t")).write.text(path)
 
 
-def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str) -> DataFrame:
+def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str, blanks: bool = False) -> DataFrame:
     """A text file as a Parquet table."""
-    read_table_text(spark, source, schema).write.parquet(target)
+    read_table_text(spark, source, schema, blanks).write.parquet(target)
     return spark.read.parquet(target)
 
 

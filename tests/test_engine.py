@@ -6,25 +6,88 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import catalogue
 from quillon.cli import main
+from quillon.operators import joins
 from quillon.operators.joins import join_order
 from quillon.plans.dialect import parse
+from quillon.plans.estimates import Estimate
 from quillon.plans.spec import QueryError
 from quillon.session import Engine
-from quillon.sources import definitions, generate, indexes, statistics, text
+from quillon.sources import definitions, generate, indexes, statistics, storage, text
 from quillon.sources.catalog import Catalog
 
 # The definitions of the test tables: fixed values.
 SHOP = {
-    "CUSTOMER": "5|100|cid INTEGER 200 PK 4|gender INTEGER 2 NK 4|firstname STRING 10 NK 20|lastname STRING 10 NK 20|address STRING 26 NK 52",
-    "CART": "4|100|cartid INTEGER 200 PK 4|cid INTEGER 200 FK 4|status STRING 8 NK 16|remarks STRING 38 NK 76",
-    "CARTDETAILS": "4|100|iid INTEGER 200 PK 4|cartid INTEGER 200 FK 4|qty INTEGER 50 NK 4|remarks STRING 44 NK 88",
-    "BILL": "4|100|billid INTEGER 200 PK 4|iid INTEGER 200 FK 4|amount INTEGER 2500 NK 4|remarks STRING 44 NK 88",
-    "Flights": "6|36|flno INTEGER 20000 PK 4|from STRING 3 NK 6|to STRING 3 NK 6|distance INTEGER 10000 NK 4|depart STRING 4 NK 8|arrives STRING 4 NK 8",
-    "Schedule": "2|8|flno INTEGER 20000 FK 4|aid INTEGER 20000 FK 4",
-    "Aircrafts": "3|28|aid INTEGER 20000 PK 4|aname STRING 10 NK 20|cruisingrange INTEGER 16000 NK 4",
-    "Certified": "2|8|eid INTEGER 10000 FK 4|aid INTEGER 10000 FK 4",
-    "Employees": "3|68|eid INTEGER 10000 PK 4|ename STRING 30 NK 60|salary INTEGER 100000 NK 4",
+    "CUSTOMER": """
+5
+100
+cid INTEGER 200 PK 4
+gender INTEGER 2 NK 4
+firstname STRING 10 NK 20
+lastname STRING 10 NK 20
+address STRING 26 NK 52
+""",
+    "CART": """
+4
+100
+cartid INTEGER 200 PK 4
+cid INTEGER 200 FK 4
+status STRING 8 NK 16
+remarks STRING 38 NK 76
+""",
+    "CARTDETAILS": """
+4
+100
+iid INTEGER 200 PK 4
+cartid INTEGER 200 FK 4
+qty INTEGER 50 NK 4
+remarks STRING 44 NK 88
+""",
+    "BILL": """
+4
+100
+billid INTEGER 200 PK 4
+iid INTEGER 200 FK 4
+amount INTEGER 2500 NK 4
+remarks STRING 44 NK 88
+""",
+    "Flights": """
+6
+36
+flno INTEGER 20000 PK 4
+from STRING 3 NK 6
+to STRING 3 NK 6
+distance INTEGER 10000 NK 4
+depart STRING 4 NK 8
+arrives STRING 4 NK 8
+""",
+    "Schedule": """
+2
+8
+flno INTEGER 20000 FK 4
+aid INTEGER 20000 FK 4
+""",
+    "Aircrafts": """
+3
+28
+aid INTEGER 20000 PK 4
+aname STRING 10 NK 20
+cruisingrange INTEGER 16000 NK 4
+""",
+    "Certified": """
+2
+8
+eid INTEGER 10000 FK 4
+aid INTEGER 10000 FK 4
+""",
+    "Employees": """
+3
+68
+eid INTEGER 10000 PK 4
+ename STRING 30 NK 60
+salary INTEGER 100000 NK 4
+""",
 }
 ROWS = {"CUSTOMER": 200, "CART": 200, "CARTDETAILS": 200, "BILL": 200, "Flights": 6000, "Schedule": 5000, "Aircrafts": 6000, "Certified": 5000, "Employees": 4000}
 CHAIN = "CUSTOMER.cid=CART.cid,CART.cartid=CARTDETAILS.cartid,CARTDETAILS.iid=BILL.iid"
@@ -53,7 +116,7 @@ def shop(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("shop")
     duck = duckdb.connect()
     for i, (name, lines) in enumerate(SHOP.items()):
-        generate.generate(spark, definitions.parse_definition(lines.split("|")), ROWS[name], seed=i + 1).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
+        generate.generate(spark, definitions.parse_definition(lines.split("\n")), ROWS[name], seed=i + 1).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
     return Engine(spark, Catalog.of_folder(spark, str(folder), tuple(SHOP))), duck, folder
 
@@ -167,7 +230,7 @@ def test_result_files(shop, tmp_path):
 
 
 def test_generator(spark):
-    schema = definitions.parse_definition(SHOP["Flights"].split("|"))
+    schema = definitions.parse_definition(SHOP["Flights"].split("\n"))
     one, two = (generate.generate(spark, schema, 20000, seed=s) for s in (1, 2))
     assert sorted(r[0] for r in one.select("flno").collect()) == list(range(20000))
     assert one.exceptAll(generate.generate(spark, schema, 20000, seed=1)).count() == 0 < one.exceptAll(two).count()
@@ -257,7 +320,7 @@ def test_command_line(shop, spark, tmp_path, capsys):
     (tmp_path / "q.sql").write_text(CORPUS["query9"][0])
     main(["query", str(folder), str(tmp_path / "q.sql"), str(tmp_path / "r.txt"), "--explain"], spark)
     assert sorted((tmp_path / "r.txt").read_text().split()) == ["0", "1", "CUSTOMER.gender"]
-    (tmp_path / "t.det").write_text(SHOP["CART"].replace("|", "\n"))
+    (tmp_path / "t.det").write_text(SHOP["CART"])
     main(["generate", str(tmp_path / "t.det"), str(tmp_path / "t"), "50", "--seed", "3"], spark)
     main(["index", str(tmp_path / "t"), str(tmp_path / "ti"), "cid"], spark)
     main(["sort", str(tmp_path / "t"), str(tmp_path / "ts"), "cid", "--desc"], spark)
@@ -267,3 +330,89 @@ def test_command_line(shop, spark, tmp_path, capsys):
     capsys.readouterr()
     main(["dump", str(tmp_path / "ts"), "--rows", "5"], spark)
     assert len(capsys.readouterr().out.splitlines()) == 5
+
+
+def test_estimates_order_the_joins():
+    q = parse('SELECT * FROM big,mid,dim WHERE big.m=mid.m,mid.d=dim.d,dim.name="x"')
+    rows = {"big": Estimate(10**9, {"m": 10**6}), "mid": Estimate(10**6, {"m": 10**6, "d": 100}), "dim": Estimate(1, {"d": 100})}
+    assert join_order(q.tables, q.where, rows) == [["dim", "mid", "big"]]
+    star = parse("SELECT * FROM fact,a,b,c WHERE fact.a=a.a,fact.b=b.b,fact.c>c.c")
+    few = {"fact": Estimate(10**6, {"a": 1000, "b": 10}), "a": Estimate(1, {"a": 1000}), "b": Estimate(10, {"b": 10}), "c": Estimate(5, {})}
+    assert join_order(star.tables, star.where, few) == [["a", "fact", "b", "c"]]
+
+
+def test_a_bad_order_of_tables_joins_the_small_ones_first(spark, tmp_path):
+    """Sizes from the files, or counted statistics: the plan joins the two small tables below the large one."""
+    spark.range(60_000).select((F.col("id") % 500).alias("m"), F.rand(1).alias("x")).write.parquet(str(tmp_path / "big.parquet"))
+    spark.range(500).select(F.col("id").alias("m"), (F.col("id") % 5).alias("d")).coalesce(1).write.parquet(str(tmp_path / "mid.parquet"))
+    spark.range(5).select(F.col("id").alias("d"), F.lit("n").alias("name")).coalesce(1).write.parquet(str(tmp_path / "dim.parquet"))
+    catalog = Catalog.of_folder(spark, str(tmp_path), ("big", "mid", "dim"))
+    engine = Engine(spark, catalog)
+    query = "SELECT big.x,dim.name FROM big,mid,dim WHERE big.m=mid.m,mid.d=dim.d"
+    for counted in (False, True):
+        if counted:
+            for t in ("big", "mid", "dim"):
+                statistics.write_statistics(catalog.table(t), str(tmp_path / f"{t}.stat"))
+                catalog.add_statistics(t, statistics.read_statistics(spark, str(tmp_path / f"{t}.stat")))
+            assert catalog.statistics("mid").distinct["d"] == 5
+        df = engine.sql(query)
+        logical = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = {t: next(len(x) - len(x.lstrip(" :+-")) for x in logical if "Relation" in x and c in x) for t, c in (("big", ",x#"), ("dim", "name#"))}
+        assert depth["big"] < depth["dim"] and df.count() == 60_000
+
+
+def test_tables_open_on_use(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "A.parquet"))
+    engine = Engine(spark, Catalog.of_folder(spark, str(tmp_path), ("A", "absent")))
+    assert engine.sql("SELECT A.id FROM A").count() == 3
+    with pytest.raises(QueryError):
+        engine.sql("SELECT B.id FROM B")
+
+
+def test_large_tables_are_not_looped_over(shop, monkeypatch):
+    engine, *_ = shop
+    monkeypatch.setattr(joins, "HINTED_BYTES", 0)
+    for strategy in ("nested", "block"):
+        assert "CartesianProduct" not in engine.explain(CORPUS["query3"][0], join_strategy=strategy)
+
+
+def test_the_registered_index_join_has_no_shuffle(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [catalogue.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in ("join_index", "join_equi_2")]
+        assert "Exchange" not in plans[0] and "Exchange" in plans[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_insert_takes_many_tasks(spark, tmp_path, monkeypatch):
+    df = spark.range(5000).select(F.col("id").alias("k"))
+    path = str(tmp_path / "i")
+    indexes.build_sorted(df.filter("k < 1000"), ["k"], path, files=2)
+    monkeypatch.setattr(indexes, "FILE_BYTES", 8000)
+    indexes.insert(spark, path, df.filter("k >= 1000"), ["k"])
+    bounds = sorted((r.a, r.b) for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("k").alias("a"), F.max("k").alias("b")).collect())
+    assert len(bounds) == 6 and all(x[1] < y[0] for x, y in itertools.pairwise(bounds))
+
+
+def test_blank_separated_text(spark, tmp_path):
+    (tmp_path / "t.txt").write_text(" 1  ab\n2\t \tc\n")
+    schema = spark.createDataFrame([], "i int, s string").schema
+    assert sorted(text.read_table_text(spark, str(tmp_path / "t.txt"), schema, blanks=True).collect()) == [(1, "ab"), (2, "c")]
+    with pytest.raises(Exception, match="not 2 columns"):
+        text.read_table_text(spark, str(tmp_path / "t.txt"), schema).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(Session())
