@@ -143,6 +143,11 @@ _SENT = "bucket int, batch long, info binary, keys binary, who binary, counts bi
 _HOT_MARK = 0xFFFF
 
 
+def _facts_bucket(batch: int, buckets: int) -> int:
+    """The bucket that a batch's facts pass through: numbers start over in each task, so they are mixed, or most tasks' facts would meet in one."""
+    return int(_mix(np.array([batch], np.uint64))[0]) % buckets
+
+
 def _send(words: int, buckets: int):
     """Documents (id, key, text) to packed rows: one a batch and bucket, and one of facts a batch."""
     shift = np.uint64(KEY_BITS - buckets.bit_length() + 1)
@@ -170,7 +175,7 @@ def _send(words: int, buckets: int):
         parts = [(at[b], at[b + 1]) for b in used]
         return pa.record_batch(
             [
-                pa.array([batch % buckets, *used], pa.int32()),
+                pa.array([_facts_bucket(batch, buckets), *used], pa.int32()),
                 pa.array([batch] * (len(used) + 1), pa.int64()),
                 pa.array([info] + [None] * len(used), pa.binary()),
                 pa.array([None] + [_pack(key[a:b]) for a, b in parts], pa.binary()),

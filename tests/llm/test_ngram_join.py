@@ -179,3 +179,10 @@ def test_packed_keys():
     for n, top in ((1, 1 << 60), (5, 1 << 56), (1000, 1 << 20), (2000, 1 << 56)):
         keys = np.sort(rng.integers(0, top, n).astype(np.uint64))
         assert np.array_equal(ngram_join._unpack(ngram_join._pack(keys)), keys)
+
+
+def test_facts_of_many_tasks_are_spread():
+    """A bucket gets about as many batches' facts as any other, however the batches are dealt over tasks."""
+    for tasks, batches in ((6400, 1), (200, 32)):
+        into = Counter(ngram_join._facts_bucket((t << 24) + b, 64) for t in range(tasks) for b in range(batches))
+        assert len(into) == 64 and max(into.values()) < 160
