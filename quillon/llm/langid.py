@@ -35,7 +35,7 @@ SMOOTHING = 0.1
 ROUNDS, TOLERANCE = 12, 1e-3
 #: Times half the logarithm of the trigrams that another language must add to the log likelihood.
 PENALTY = 4.0
-SPAN = 1_000_000
+SPAN = 250_000
 
 
 @cache
@@ -44,18 +44,34 @@ def _letters() -> np.ndarray:
     return np.array([c if not 0xD800 <= c < 0xE000 and chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Bucket of every trigram of the lowercased text, where each run of other characters is one blank; empty without letters."""
-    table, parts = _letters(), []
+def _spans(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the trigrams of the lowercased text, where each run of other characters is one blank, SPAN characters at a time."""
+    table, tail = _letters(), np.zeros(1, np.uint32)
     for at in range(0, len(text), SPAN):
         points = np.frombuffer(text[at : at + SPAN].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        parts.append(table[points])
-    x = np.concatenate([np.zeros(1, np.uint32), *parts, np.zeros(1, np.uint32)])
-    x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))].astype(np.uint64)
-    if len(x) < 3:
-        return np.empty(0, np.int64)
-    h = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
+        x = np.concatenate([tail, table[points], np.zeros(int(at + SPAN >= len(text)), np.uint32)])
+        x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))]
+        tail = x[-2:]
+        if len(x) > 2:
+            x = x.astype(np.uint64)
+            h = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
+            yield ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Bucket of every trigram, in their order; empty without letters."""
+    return np.concatenate([np.empty(0, np.int64), *_spans(text)])
+
+
+def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text has, ascending, and how often; a long text takes no more memory than SPAN characters."""
+    if len(text) <= SPAN:
+        return np.unique(trigrams(text), return_counts=True)
+    sums = np.zeros(BUCKETS, np.int64)
+    for span in _spans(text):
+        sums += np.bincount(span, minlength=BUCKETS)
+    at = sums.nonzero()[0]
+    return at, sums[at]
 
 
 class Likelihoods:
@@ -103,7 +119,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 if lang not in sums and len(sums) == HELD_LANGS:
                     yield from sent(sums)
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                own += np.bincount(trigrams(text), minlength=BUCKETS)
+                at, n = trigram_counts(text)
+                own[at] += n
         yield from sent(sums)
         common.release()
 
@@ -128,15 +145,14 @@ def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndar
 
 def identify(text: str, table: Likelihoods) -> list[tuple[int, float]]:
     """(column, proportion) of the chosen languages, the largest first; none without letters."""
-    grams = trigrams(text) if table.shape[1] else np.empty(0, np.int64)
-    if not len(grams):
+    at, n = trigram_counts(text if table.shape[1] else "")
+    if not len(at):
         return []
-    at, n = np.unique(grams, return_counts=True)
     p = table[at]
     order = np.argsort(-mixture(p, n)[0], kind="stable")
     chosen, shares = [order[0]], np.ones(1)
     best = float(n @ np.log(p[:, order[0]]))
-    cost = PENALTY * 0.5 * np.log(len(grams) + 1.0)
+    cost = PENALTY * 0.5 * np.log(n.sum() + 1.0)
     for k in order[1:]:
         new, likelihood = mixture(p[:, [*chosen, k]], n)
         if likelihood - best <= cost:

@@ -98,3 +98,14 @@ def test_a_share_is_never_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"{WORDS['en']} {i}", "en") for i in range(400)], SCHEMA)
     langs, table = langid.learn(df, sample=1)
     assert langs == ["en"] and table.n.sum() > 0
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab é7 .日", k=rng.randrange(0, 60))) for _ in range(500)] + ["", "a", " ", "a" * 7, " " * 21]
+    whole = [langid.trigrams(t).tolist() for t in texts]
+    monkeypatch.setattr(langid, "SPAN", 7)
+    for t, want in zip(texts, whole, strict=True):
+        assert langid.trigrams(t).tolist() == want, repr(t)
+        at, n = langid.trigram_counts(t)
+        assert list(zip(at.tolist(), n.tolist(), strict=True)) == [(g, want.count(g)) for g in sorted(set(want))], repr(t)
