@@ -102,8 +102,13 @@ class Bpe:
         of = self.of_byte
         return np.array(self.merge([of[b] for b in word.encode()]), "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Called with the words of a text before they are looked up."""
+    def look_up(self, words: list[str]) -> bytes:
+        """The ids of words, one after the other."""
+        self.age()
+        return b"".join(map(self.young.__getitem__, words))
+
+    def age(self) -> None:
+        """Begins a new generation of words when one is full."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, _Words(self)
 
@@ -112,16 +117,12 @@ class Bpe:
 
     def _plain(self, text: str) -> bytes:
         if len(text) <= PIECE:
-            words = self.words(text)
-            self.learn(words)
-            return b"".join(map(self.young.__getitem__, words))
+            return self.look_up(self.words(text))
         parts, at = [], 0
         while at < len(text):
             m = self.cut.search(text, at + PIECE)
             end = m.start() + 1 if m else len(text)
-            words = self.words(text[at:end])
-            self.learn(words)
-            parts.append(b"".join(map(self.young.__getitem__, words)))
+            parts.append(self.look_up(self.words(text[at:end])))
             at = end
         return b"".join(parts)
 

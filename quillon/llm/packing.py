@@ -47,11 +47,21 @@ class LibraryBpe(Bpe):
     def encode_word(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        super().learn(words)
+    def look_up(self, words: list[str]) -> bytes:
+        self.age()
+        found = list(map(self.young.get, words))
+        absent = [i for i, x in enumerate(found) if x is None]
+        if absent:
+            self.learn({words[i] for i in absent})
+            for i in absent:
+                found[i] = self.young[words[i]]
+        return b"".join(found)
+
+    def learn(self, words: set[str]) -> None:
+        """Makes words known that aren't in the younger generation."""
         young, old = self.young, self.old
         letters, others = [], []
-        for w in [w for w in set(words) if w not in young]:
+        for w in words:
             if w in old:
                 young[w] = old[w]
             elif len(w) <= CACHED_LENGTH:

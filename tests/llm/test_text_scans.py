@@ -180,7 +180,9 @@ def test_bpe_long_texts_in_pieces(spec, monkeypatch):
     whole = bpe.Bpe(spec).encode(text)
     monkeypatch.setattr(bpe, "PIECE", 100)
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
-    assert bpe.Bpe(spec).encode(text) == whole
+    for kind in (bpe.Bpe, LibraryBpe):
+        small = kind(spec)
+        assert small.encode(text) == whole and small.encode(text) == whole
 
 
 def test_bpe_rows(spark):
