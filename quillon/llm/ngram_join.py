@@ -200,6 +200,7 @@ def _send(words: int, buckets: int):
                 size += len(raw)
         if texts:
             yield batch_rows(number, ids, keys, texts)
+        _hashes.clear()  # other stages need the worker's memory
         common.release()
 
     return run
