@@ -11,7 +11,7 @@ from quillon.cli import main
 from quillon.operators import joins
 from quillon.operators.joins import join_order
 from quillon.plans.dialect import parse
-from quillon.plans.estimates import Estimate
+from quillon.plans.estimates import Estimate, with_domains
 from quillon.plans.spec import QueryError
 from quillon.session import Engine
 from quillon.sources import definitions, generate, indexes, statistics, storage, text
@@ -361,6 +361,43 @@ def test_a_bad_order_of_tables_joins_the_small_ones_first(spark, tmp_path):
         assert depth["big"] < depth["dim"] and df.count() == 60_000
 
 
+def test_linked_columns_have_the_values_of_the_fewest():
+    """Customers and suppliers meet by nation: as many values as nations, filtered or not, unless they are counted."""
+    q = parse("SELECT * FROM n,c,s WHERE c.n=n.k,s.n=n.k")
+    found = with_domains({"n": Estimate(1, {}, 25), "c": Estimate(9000, {}, 9000), "s": Estimate(600, {"n": 20}, 600)}, q.where)
+    assert found["c"].distinct == {"n": 20} and found["n"].distinct == {"k": 20} and found["s"].distinct == {"n": 20}
+    few = with_domains({"n": Estimate(25, {}, 25), "c": Estimate(9000, {}, 9000), "o": Estimate(90_000, {}, 90_000), "s": Estimate(600, {}, 600)}, (five := parse("SELECT * FROM n,c,o,s WHERE c.n=n.k,s.n=n.k,c.k=o.c")).where)
+    assert join_order(five.tables, five.where, few)[0][-1] == "s"
+
+
+def test_a_join_with_few_keys_comes_last_and_is_dealt_evenly(spark, tmp_path):
+    """Each order meets the 400 suppliers of its nation: no intermediate result has more rows than orders, and each task makes some of the result."""
+    spark.range(5).select(F.col("id").alias("k"), F.lit("n").alias("name")).coalesce(1).write.parquet(str(tmp_path / "N.parquet"))
+    spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 3).alias("n")).coalesce(1).write.parquet(str(tmp_path / "C.parquet"))
+    spark.range(3000).select((F.col("id") % 300).alias("c"), F.rand(1).alias("price")).coalesce(1).write.parquet(str(tmp_path / "O.parquet"))
+    spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 5).alias("n"), F.rand(2).alias("balance")).coalesce(1).write.parquet(str(tmp_path / "S.parquet"))
+    catalog = Catalog.of_folder(spark, str(tmp_path), ("N", "C", "O", "S"))
+    query = "SELECT S.balance,O.price,N.name FROM N,C,O,S WHERE C.n=N.k,C.k=O.c,S.n=N.k"
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for counted in (False, True):
+            if counted:
+                for t in ("N", "C", "O", "S"):
+                    statistics.write_statistics(catalog.table(t), str(tmp_path / f"{t}.stat"))
+                    catalog.add_statistics(t, statistics.read_statistics(spark, str(tmp_path / f"{t}.stat")))
+            df = Engine(spark, catalog).sql(query)
+            logical = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+            depth = {t: next(len(x) - len(x.lstrip(" :+-")) for x in logical if "Relation" in x and c in x) for t, c in (("S", "balance#"), ("O", "price#"))}
+            assert depth["S"] < depth["O"]
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "RoundRobinPartitioning" in plan
+            made = df.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in made) == 3000 * 400 and len(made) == 4 and max(r["count"] for r in made) < 400_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_tables_open_on_use(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "A.parquet"))
     engine = Engine(spark, Catalog.of_folder(spark, str(tmp_path), ("A", "absent")))
