@@ -398,6 +398,27 @@ def test_a_join_with_few_keys_comes_last_and_is_dealt_evenly(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_large_tables_are_not_dealt_twice(spark, tmp_path):
+    """Above 32 MB, orders that a join has dealt by many customers meet the 40 suppliers of their nation where they are; few customers don't deal them evenly."""
+    spark.range(5).select(F.col("id").alias("k"), F.lit("n").alias("name")).write.parquet(str(tmp_path / "N.parquet"))
+    for name, customers in (("C", 20_000), ("Few", 100)):
+        spark.range(customers).select(F.col("id").alias("k"), (F.col("id") % 5).alias("n")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.range(700_000).select((F.col("id") % 20_000).alias("c"), F.sha2(F.col("id").cast("string"), 256).alias("note")).write.parquet(str(tmp_path / "O.parquet"))
+    spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 5).alias("n"), F.rand(2).alias("balance")).write.parquet(str(tmp_path / "S.parquet"))
+    catalog = Catalog.of_folder(spark, str(tmp_path), ("N", "C", "Few", "O", "S"))
+    for t, rows, distinct in (("N", 5, {"k": 5}), ("C", 20_000, {"k": 20_000, "n": 5}), ("Few", 100, {"k": 100, "n": 5}), ("O", 700_000, {"c": 20_000}), ("S", 200, {"k": 200, "n": 5})):
+        catalog.add_statistics(t, statistics.TableStatistics(rows, distinct))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, dealt, rows in (("C", 0, 700_000 * 40), ("Few", 1, 3500 * 40)):
+            df = Engine(spark, catalog).sql(f"SELECT S.balance,O.note,N.name FROM N,{name},O,S WHERE {name}.n=N.k,{name}.k=O.c,S.n=N.k")
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("RoundRobinPartitioning") == dealt and plan.count("BroadcastHashJoin") == 1 and df.count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_tables_open_on_use(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "A.parquet"))
     engine = Engine(spark, Catalog.of_folder(spark, str(tmp_path), ("A", "absent")))
