@@ -414,7 +414,7 @@ def test_large_tables_are_not_dealt_twice(spark, tmp_path):
         for name, dealt, rows in (("C", 0, 700_000 * 40), ("Few", 1, 3500 * 40)):
             df = Engine(spark, catalog).sql(f"SELECT S.balance,O.note,N.name FROM N,{name},O,S WHERE {name}.n=N.k,{name}.k=O.c,S.n=N.k")
             plan = df._jdf.queryExecution().executedPlan().toString()
-            assert plan.count("RoundRobinPartitioning") == dealt and plan.count("BroadcastHashJoin") == 1 and df.count() == rows
+            assert plan.count("RoundRobinPartitioning") == dealt and plan.count("REPARTITION_BY_NUM") == 1 and plan.count("BroadcastHashJoin") == 1 and df.count() == rows
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
